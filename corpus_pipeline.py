@@ -1,10 +1,71 @@
-"""The corpus pipeline: filter by quality, drop near copies, mask secrets, mix the sources, encode."""
+"""The corpus pipeline: filter by quality, drop near copies, mask secrets, mix the sources, encode.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one gets what was written and
+read again. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, simhash_ring
+from grovekit.llm.common import read_table, shared_folder, short_batches
+
+# SQL can express neither the learned filter nor the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it is fitted to the labels of the training fold."""
+    short_batches(spark)
+    model = mil_quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    kept = mil_quality.scored(docs, model, docs.columns).where(F.col("score") >= mil_quality.THRESHOLD)
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id.
+
+    A row without an id is known by its text's hash, made negative. Rows that repeat an id count as one document.
+    """
+    short_batches(spark)
+    keyed = docs.withColumn("row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)))
+    found = simhash_ring.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
+    stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(stays, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets masked."""
+    short_batches(spark)
+    return secret_battery.mask(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their target weights: documents left out, kept, or repeated up to three times."""
+    return mixing_tree.mixed(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's SentencePiece ids, without its text."""
+    short_batches(spark)
+    found = sentencepiece_scan.encode(docs, columns=[c for c in docs.columns if c != "text"])
+    return found.withColumn("n_tokens", F.coalesce(F.expr("array_size(ids)"), F.lit(0)).cast("bigint"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for at, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs.write.parquet(path := f"{folder}/{at}_{name}")
+            docs = spark.read.parquet(path)
+    return docs

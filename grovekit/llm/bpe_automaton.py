@@ -21,6 +21,10 @@ class Automaton:
         self.tokens, self.rank = tokens, rank
         self.longest = max(map(len, tokens), default=1)
         self._pairs: dict = {}
+        #: By its first four symbols, how long a token may be.
+        self._ahead: dict = {}
+        for t in tokens:
+            self._ahead[t[:4]] = max(len(t), self._ahead.get(t[:4], 3))
 
     def merged(self, s) -> list:
         """The encoding of a short ``s`` by merging, lowest rank and then leftmost first."""
@@ -69,9 +73,28 @@ class Automaton:
         return out
 
     def path(self, s) -> list:
-        """The encoding of ``s``."""
-        out, lasts, i = [], self.lasts(s), len(s)
-        while i:
-            out.append(s[i - lasts[i] : i])
-            i -= lasts[i]
-        return out[::-1]
+        """The encoding of ``s``: depth first, longest token first; a place that leads nowhere is left for good,
+        as all paths to it share their last token."""
+        n, tokens, pairs, ahead = len(s), self.tokens, self._pairs, self._ahead
+        if not n:
+            return []
+        starts, before, dead = [0], s[:0], set()
+        i, e = 0, min(n, ahead.get(s[:4], 3))
+        while True:
+            while e > i:
+                t = s[i:e]
+                if (t in tokens or e - i == 1) and e not in dead:
+                    ok = pairs.get((before, t))
+                    if ok or (ok is None and self.follows(before, t)):
+                        break
+                e -= 1
+            else:
+                dead.add(starts.pop())
+                e, i = i - 1, starts[-1]
+                before = s[starts[-2] : i] if len(starts) > 1 else s[:0]
+                continue
+            starts.append(e)
+            if e == n:
+                return [s[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+            before, i = t, e
+            e = min(n, i + ahead.get(s[i : i + 4], 3))

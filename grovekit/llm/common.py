@@ -23,26 +23,27 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="grovekit-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary folder is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that its lineage is cut and a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grovekit-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def map_columns(df: DataFrame, columns: list[str], added: str, make: Callable[[], Callable[[list[pa.Array]], dict]]) -> DataFrame:
-    """Keep ``columns`` but drop the last of them, which is handed to Python, and add ``added`` (a DDL schema).
+def map_columns(df: DataFrame, columns: list[str], added: str, make: Callable[[], Callable[[list], dict]], keep_last: bool = False) -> DataFrame:
+    """``columns`` without the last of them (unless ``keep_last``), which is handed to Python, and ``added`` (a DDL schema).
 
     ``make`` builds, once in each task, a function from the last column's values of a batch (a list of
     str or None) to a dict of column lists.
     """
-    fields = [df.schema[c] for c in columns[:-1]] + list(T._parse_datatype_string(added).fields)
+    kept = len(columns) - (not keep_last)
+    fields = [df.schema[c] for c in columns[:kept]] + list(T._parse_datatype_string(added).fields)
     schema = T.StructType(fields)
     names = [f.name for f in T._parse_datatype_string(added).fields]
 
@@ -53,11 +54,11 @@ def map_columns(df: DataFrame, columns: list[str], added: str, make: Callable[[]
         work = make()
         for batch in batches:
             made = work(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = [batch.column(i).cast(want.field(i).type) for i in range(batch.num_columns - 1)]
+            arrays = [batch.column(i).cast(want.field(i).type) for i in range(kept)]
             arrays += [pa.array(made[n], want.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, schema=want)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
 def doc_crc(doc_id: Column) -> Column:

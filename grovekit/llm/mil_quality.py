@@ -210,9 +210,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> D
         return lambda texts: {"score": model.scores(encode(texts)).tolist() if texts else []}
 
     keep = columns or ["doc_id"]
-    if "text" in keep:
-        return map_columns(docs.withColumn("text_again", F.col("text")), [*keep, "text_again"], "score double", make)
-    return map_columns(docs, [*keep, "text"], "score double", make)
+    return map_columns(docs, [*(c for c in keep if c != "text"), "text"], "score double", make, "text" in keep)
 
 
 def predicted(score: str = "score", threshold: float = THRESHOLD) -> F.Column:

@@ -5,17 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing_tree, simhash_ring
+from . import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, simhash_ring
 from .common import read_table, short_batches
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256, the digest of the text that the ids decode to."""
+    short_batches(spark)
+    found = sentencepiece_scan.encode(read_table(spark, sf_dir, "documents"), decoded=True)
+    return found.select("doc_id", F.coalesce(F.expr("array_size(ids)"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return secret_battery.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     found = simhash_ring.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_ring.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = mil_quality.scored(docs, mil_quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", mil_quality.held_out(F.col("doc_id")).alias("held_out"), "score", mil_quality.predicted().alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_tree.decisions(read_table(spark, sf_dir, "documents"))
 

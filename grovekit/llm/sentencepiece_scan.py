@@ -227,10 +227,19 @@ def _loaded(path: str, _held: dict = {}) -> Pieces:  # noqa: B006 one for each P
     return _held[path]
 
 
-def _make_encode(path: str) -> Callable:
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _make_encode(path: str, decoded: bool) -> Callable:
     def make() -> Callable:
         pieces = _loaded(path)
-        return lambda texts: {"ids": [None if t is None else pieces.encode(normal(t)) for t in texts]}
+
+        def work(texts: list) -> dict:
+            ids = [None if t is None else pieces.encode(normal(t)) for t in texts]
+            return {"ids": ids} | ({"decoded_sha256": [None if x is None else _digest(pieces.decode(x.tolist())) for x in ids]} if decoded else {})
+
+        return work
 
     return make
 
@@ -283,27 +292,31 @@ def encode_giants(giants: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame
     return parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (doc_id) of each row and ``ids array<int>``, as the library's encode gives them."""
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """``columns`` (doc_id) of each row and ``ids array<int>``, as the library's encode gives them.
+
+    ``decoded`` adds decoded_sha256: the ids are decoded again where they are made, and the text's digest kept.
+    """
     path, columns = path or default_model(), columns or ["doc_id"]
     is_giant = F.length("text") > chunk
-    small = map_columns(docs.where(~F.coalesce(is_giant, F.lit(False))), [*columns, "text"], "ids array<int>", _make_encode(path))
-    giants = checkpointed(docs.where(is_giant).withColumn("row", F.monotonically_increasing_id()).select("row", *columns, "text"))
+    added = "ids array<int>" + ", decoded_sha256 string" * decoded
+    small = map_columns(docs.where(~F.coalesce(is_giant, F.lit(False))), [*columns, "text"], added, _make_encode(path, decoded))
+    giants = checkpointed(docs.where(is_giant).select(F.monotonically_increasing_id().alias("row"), *columns, "text"))
     if giants.isEmpty():
         return small
-    ids = encode_giants(giants.select("row", "text"), path, chunk)
-    return small.unionByName(giants.drop("text").join(ids, "row").select(*columns, "ids"))
+    ids = checkpointed(encode_giants(giants.select("row", "text"), path, chunk))
+    large = giants.drop("text").join(decode(ids, path, ["row"], True) if decoded else ids, "row")
+    return small.unionByName(large.drop("row"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, columns: list[str] | None = None, digest: bool = False) -> DataFrame:
-    """``text`` of each row's ids; with ``digest`` its sha256 alone, and ids stay as they are."""
+    """``columns`` (doc_id) and the ``text`` of each row's ids; with ``digest`` the ids and decoded_sha256 instead."""
     path, columns = path or default_model(), columns or ["doc_id"]
 
     def make() -> Callable:
         pieces = _loaded(path)
         if digest:
-            return lambda rows: {"decoded_sha256": [None if r is None else hashlib.sha256(pieces.decode(r).encode("utf-8", "surrogatepass")).hexdigest() for r in rows]}
+            return lambda rows: {"decoded_sha256": [None if r is None else _digest(pieces.decode(r)) for r in rows]}
         return lambda rows: {"text": [None if r is None else pieces.decode(r) for r in rows]}
 
-    source = encoded.withColumn("ids_again", F.col("ids")) if "ids" in columns else encoded
-    return map_columns(source, [*columns, "ids_again" if "ids" in columns else "ids"], "decoded_sha256 string" if digest else "text string", make)
+    return map_columns(encoded, [*columns, "ids"], "decoded_sha256 string" if digest else "text string", make, digest)
