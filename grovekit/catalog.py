@@ -4,20 +4,449 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grovekit.functions import documents, hashes, text
+from grovekit.operators import changes, history, query, search, setops, trees
+from grovekit.plans import rewrite
+from grovekit.plans.parser import parse
+from grovekit.sources import lifts
+from grovekit.sources.lifts import SQL_DAG, SQL_DOCS, SQL_ORDERS, SQL_PARTS
 from grovekit.sources.tables import read_table
+from grovekit.streaming import admission
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return docs.where(F.col("lang") == "en").groupBy("source").agg(F.count("*").alias("files")).orderBy("source")
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = trees.apply(":/en:prefix=docs", lifts.doc_files(spark, sf_dir))
+    source = F.split("path", "/")[1]
+    return view.groupBy(source.alias("source")).agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("chars")).orderBy("source")
+
+
+# Filters over the document tree: path and blob id of the view.
+
+
+def _view(name: str, spec: str, sql: str) -> None:
+    """A filter over doc_files; ``sql`` selects path and oid from ``d``."""
+    _add(name, f"WITH {SQL_DOCS} {sql}")(lambda spark, d: trees.apply(spec, lifts.doc_files(spark, d)).select("path", "oid"))
+
+
+_view("nop", ":/", "SELECT path, oid FROM d")
+_view("empty", ":empty", "SELECT path, oid FROM d WHERE false")
+_view("subdir", ":/en", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/')")
+_view("prefix", ":prefix=a/b", "SELECT 'a/b/' || path AS path, oid FROM d")
+_view("dir_select", "::en/src1/", "SELECT path, oid FROM d WHERE starts_with(path, 'en/src1/')")
+_view("file_rename", "::x/y=de", "SELECT 'x/y' || substr(path, 3) AS path, oid FROM d WHERE path = 'de' OR starts_with(path, 'de/')")
+_view("file_single", "::en/src1/doc_1.txt", "SELECT path, oid FROM d WHERE path = 'en/src1/doc_1.txt'")
+_view("glob_recursive", "::**/*1.txt", r"SELECT path, oid FROM d WHERE regexp_matches(path, '^([^./][^/]*/)*([^./][^/]*)?1\.txt$')")
+_view("glob_prefix", "::en/*1/*", r"SELECT path, oid FROM d WHERE regexp_matches(path, '^en/[^/]*1/[^./][^/]*$')")
+_view("glob_dotfiles", ":[::en/,:/fr:prefix=.h]::**/*.txt", "SELECT path, oid FROM d WHERE starts_with(path, 'en/')")
+_view("exclude", ":exclude[::en/]", "SELECT path, oid FROM d WHERE NOT starts_with(path, 'en/')")
+_view("select", ":select[::de/,::**/*7.txt]", "SELECT path, oid FROM d WHERE starts_with(path, 'de/') OR path LIKE '%7.txt'")
+_view("exclude_moved", ":exclude[:/en/src1:prefix=fr/src2]", "SELECT path, oid FROM d WHERE NOT (starts_with(path, 'fr/src2/') AND 'en/src1/' || substr(path, 9) IN (SELECT path FROM d))")
+_view("subtract_filters", ":subtract[:/en,::en/src1/]", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') AND NOT starts_with(path, 'en/src1/')")
+_view("compose_disjoint", ":[a=:/en,b=:/de]", "SELECT CASE WHEN starts_with(path, 'en/') THEN 'a/' ELSE 'b/' END || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') OR starts_with(path, 'de/')")
+_view("compose_overlap", ":[x=:/en,::en/src1/,::de/src1/]", "SELECT 'x/' || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') UNION ALL SELECT path, oid FROM d WHERE starts_with(path, 'de/src1/')")
+_view("compose_collision", ":[::x=en,x=:/de]", "SELECT 'x/' || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') OR starts_with(path, 'de/')")
+_view("chain", ":/en:/src1:prefix=one", "SELECT 'one/' || substr(path, 9) AS path, oid FROM d WHERE starts_with(path, 'en/src1/')")
+_view("scope", ":<:/en>[::src1/]", "SELECT path, oid FROM d WHERE starts_with(path, 'en/src1/')")
+_view("invert_filter", ":/en:prefix=v:invert[:/en:prefix=v]", "SELECT path, oid FROM d WHERE starts_with(path, 'en/')")
+_view("insert_file", ":[:/en,:$meta/info.txt=\"hello\"]", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') UNION ALL SELECT 'meta/info.txt', sha1('blob 5' || chr(0) || 'hello')")
+_view("regex_replace", ":/en:replace(\"the\":\"THE\",\"([aeiou])n\":\"<$1>\")", "SELECT substr(path, 4) AS path, sha1('blob ' || strlen(t) || chr(0) || t) AS oid FROM (SELECT path, regexp_replace(regexp_replace(content, 'the', 'THE', 'g'), '([aeiou])n', '<\\1>', 'g') AS t FROM d WHERE starts_with(path, 'en/'))")
+_view("paths_provenance", ":PATHS:/en", "SELECT substr(path, 4) AS path, sha1('blob ' || strlen(path) || chr(0) || path) AS oid FROM d WHERE starts_with(path, 'en/')")
+_view("invert_paths", ":/en:PATHS:prefix=m:INVERT", "SELECT substr(path, 4) AS path, sha1('blob ' || (strlen(path) - 1) || chr(0) || 'm/' || substr(path, 4)) AS oid FROM d WHERE starts_with(path, 'en/')")
+_view("object_ref", ":&en/src1/doc_1.txt", "SELECT path, sha1('blob 40' || chr(0) || oid) AS oid FROM d WHERE path = 'en/src1/doc_1.txt' UNION ALL SELECT path, oid FROM d WHERE NOT EXISTS (SELECT 1 FROM d WHERE path = 'en/src1/doc_1.txt')")
+_view("meta_options", ":~(history=\"linear\")[:/fr]", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'fr/')")
+_view("export", ":[:/es,:$.link.filter=\"x\"]:export", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'es/')")
+_view("unlink", ":[::es/,::de/,:$de/.link.filter=\"x\"]:unlink", "SELECT path, oid FROM d WHERE starts_with(path, 'es/') UNION ALL SELECT 'de/.link.filter', sha1('blob 1' || chr(0) || 'x')")
+_view("stored", ":[:/:exclude[::fr/],:$ws.filter=\"a = :/de\"]:+ws", "SELECT 'a/' || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'de/') UNION ALL SELECT 'ws.filter', sha1('blob 8' || chr(0) || 'a = :/de')")
+_view("workspace", ":[:/:exclude[::fr/],:$ws/workspace.filter=\"a = :/de\"]:workspace=ws", "SELECT 'a/' || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'de/') UNION ALL SELECT 'workspace.filter', sha1('blob 8' || chr(0) || 'a = :/de')")
+
+
+@_add("script", f"WITH {SQL_DOCS} SELECT path, oid FROM d WHERE starts_with(path, 'de/')")
+def _script(spark: SparkSession, d: str) -> DataFrame:
+    env = trees.Env(scripts={"pick": lambda seen: parse("::de/")})
+    return trees.apply(":!pick[:/]", lifts.doc_files(spark, d), env).select("path", "oid")
+
+
+@_add("tree_id", f"WITH {SQL_DOCS} SELECT split_part(path, '/', 2) AS tree_id, sha1(unhex(upper(hex(encode('tree ' || (sum(strlen(name) + 28))) )) || '00' || string_agg(hex(encode('100644 ' || name)) || '00' || upper(oid), '' ORDER BY name))) AS oid FROM (SELECT path, oid, split_part(path, '/', 3) AS name FROM d WHERE starts_with(path, 'en/')) GROUP BY 1")
+def _tree_id(spark: SparkSession, d: str) -> DataFrame:
+    flat = trees.apply(":/en", lifts.doc_files(spark, d))
+    flat = flat.select(hashes.parent_dir(F.col("path")).alias("tree_id"), hashes.base_name(F.col("path")).alias("path"), "mode", "oid")
+    return hashes.tree_ids(flat, 1).select("tree_id", "oid")
+
+
+@_add("unapply_tree", f"WITH {SQL_DOCS} SELECT path, CASE WHEN starts_with(path, 'en/') THEN sha1('blob 3' || chr(0) || 'new') ELSE oid END AS oid FROM d")
+def _unapply(spark: SparkSession, d: str) -> DataFrame:
+    base = lifts.doc_files(spark, d)
+    view = trees.apply(":/en", base).withColumn("content", F.lit("new")).withColumn("oid", hashes.blob_id(F.col("content")))
+    return trees.unapply(":/en", view, base).select("path", "oid")
+
+
+@_add("warnings_no_match", "SELECT 'docs' AS tree_id, 'No match for \":/nowhere\"' AS warning")
+def _warnings(spark: SparkSession, d: str) -> DataFrame:
+    return trees.warnings(":[:/en,:/nowhere]", lifts.doc_files(spark, d))
+
+
+# Set algebra.
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two trees of the same paths: parts of even keys, and parts of keys divisible by 3 with other content for key % 5 = 0."""
+    p = lifts.part_files(spark, d)
+    key = hashes.base_name(F.col("path")).cast("bigint")
+    a = p.where(key % 2 == 0)
+    b = p.where(key % 3 == 0).withColumn("content", F.when(key % 5 == 0, "new").otherwise(F.col("content")))
+    return a, b.withColumn("oid", hashes.blob_id(F.col("content")))
+
+
+_ab = f"WITH {SQL_PARTS}, a AS (SELECT path, CAST(p_size AS VARCHAR) AS content FROM p WHERE p_partkey % 2 = 0), b AS (SELECT path, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE CAST(p_size AS VARCHAR) END AS content FROM p WHERE p_partkey % 3 = 0)"
+
+
+@_add("diff_paths", _ab + " SELECT path, CASE WHEN a.content IS NULL THEN 1 WHEN b.content IS NULL THEN -1 ELSE 0 END AS change FROM a FULL JOIN b USING (path) WHERE a.content IS DISTINCT FROM b.content")
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    return setops.diff(*_halves(spark, d)).select("path", "change")
+
+
+@_add("subtract_trees", _ab + " SELECT path, content FROM a WHERE path NOT IN (SELECT path FROM b)")
+def _subtract(spark: SparkSession, d: str) -> DataFrame:
+    return setops.subtract(*_halves(spark, d)).select("path", "content")
+
+
+@_add("intersect_trees", _ab + " SELECT path, content FROM a WHERE path IN (SELECT path FROM b)")
+def _intersect(spark: SparkSession, d: str) -> DataFrame:
+    return setops.intersect(*_halves(spark, d)).select("path", "content")
+
+
+@_add("overlay", _ab + " SELECT path, coalesce(a.content, b.content) AS content FROM a FULL JOIN b USING (path)")
+def _overlay(spark: SparkSession, d: str) -> DataFrame:
+    return setops.overlay(*_halves(spark, d)).select("path", "content")
+
+
+@_add("populate", f"WITH {SQL_DOCS} SELECT path, oid FROM d WHERE starts_with(path, 'en/')")
+def _populate(spark: SparkSession, d: str) -> DataFrame:
+    files = lifts.doc_files(spark, d)
+    return setops.populate(trees.apply(":PATHS:/en", files), trees.apply(":/en", files)).select("path", "oid")
+
+
+@_add("three_way_merge_paths", _ab + ", o AS (SELECT path, CAST(p_size AS VARCHAR) AS content FROM p), j AS (SELECT path, o.content AS o, a.content AS a, b.content AS b FROM o LEFT JOIN a USING (path) LEFT JOIN b USING (path)) SELECT path, content, conflict FROM (SELECT path, CASE WHEN a IS NOT DISTINCT FROM b OR b IS NOT DISTINCT FROM o THEN a WHEN a IS NOT DISTINCT FROM o THEN b ELSE a END AS content, NOT (a IS NOT DISTINCT FROM b OR b IS NOT DISTINCT FROM o OR a IS NOT DISTINCT FROM o) AS conflict FROM j) WHERE content IS NOT NULL OR conflict")
+def _merge(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (x.select("tree_id", "path", F.col("content").alias("oid")) for x in _halves(spark, d))
+    base = lifts.part_files(spark, d).select("tree_id", "path", F.col("content").alias("oid"))
+    return setops.merge(base, a, b).select("path", F.col("oid").alias("content"), "conflict")
+
+
+# Listings and the query API.
+
+
+@_add("list_files_depth", f"WITH {SQL_DOCS} SELECT path FROM d WHERE starts_with(path, 'en/') AND len(string_split(path, '/')) <= 3")
+def _list_files(spark: SparkSession, d: str) -> DataFrame:
+    return query.listing(lifts.doc_files(spark, d), "en", 2).select("path")
+
+
+@_add("list_dirs", f"WITH {SQL_PARTS} SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3)]) AS path FROM p")
+def _list_dirs(spark: SparkSession, d: str) -> DataFrame:
+    return setops.dirs(lifts.part_files(spark, d)).select("path")
+
+
+@_add("dir_rollup", f"WITH {SQL_DOCS}, x AS (SELECT unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir, strlen(content) AS n FROM d) SELECT dir, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM x GROUP BY dir")
+def _rollup(spark: SparkSession, d: str) -> DataFrame:
+    sized = lifts.doc_files(spark, d).select("path", F.octet_length("content").alias("n"))
+    spread = sized.select(F.explode(F.concat(F.array(F.lit("")), setops.ancestors("path"))).alias("dir"), "n")
+    return spread.groupBy("dir").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+
+
+@_add("line_count", f"WITH {SQL_DOCS} SELECT path, CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 END AS lines FROM d")
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lifts.doc_files(spark, d).select("path", text.line_count(F.col("content")).alias("lines"))
+
+
+@_add("refs_glob", "SELECT 'refs/heads/' || r_name || '/' || n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def _refs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = read_table(spark, d, "nation").join(F.broadcast(read_table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = pairs.select(F.concat(F.lit("refs/heads/"), "r_name", F.lit("/"), "n_name").alias("name"))
+    return names.where(text.ref_matches(F.col("name"), "refs/heads/ASIA*"))
+
+
+@_add("json_pointer", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").select("event_id", documents.integer(documents.parsed(F.col("props")), "/k").alias("k"))
+
+
+@_add("marker_count", "WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS commit_id, role AS topic, 'a/' || turn AS path, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM conversations WHERE text <> '') SELECT commit_id, topic, path, CAST(sum(n) AS BIGINT) AS n FROM (SELECT commit_id, topic, unnest(['', 'a', path]) AS path, n FROM m) GROUP BY ALL")
+def _markers(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations").where("text <> ''")
+    return query.marker_counts(c.select(F.col("conv_id").cast("string").alias("commit_id"), F.col("role").alias("topic"), F.concat(F.lit("a/"), "turn").alias("path"), F.col("text").alias("value")))
+
+
+@_add("marker_merge", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS commit_id, role AS topic, sha1('blob ' || strlen(text) || chr(0) || text) AS id FROM conversations")
+def _marker_merge(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations")
+    m = c.select(F.col("conv_id").cast("string").alias("commit_id"), F.col("role").alias("topic"), F.lit("p").alias("path"), hashes.blob_id(F.col("text")).alias("id"), F.col("text").alias("value"))
+    return query.merge_markers(m, m.where("topic = 'user'")).select("commit_id", "topic", "id")
+
+
+# Histories of one line.
+
+
+@_add("drop_unchanged_commits", f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY at, n)) SELECT repo, commit_id, v IS NULL OR v <> \"view\" OR t = tree AS kept FROM x")
+def _drop(spark: SparkSession, d: str) -> DataFrame:
+    return history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]).select("repo", "commit_id", "kept")
+
+
+_KEPT = f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY at, n)), k AS (SELECT *, last_value(CASE WHEN v IS NULL OR v <> \"view\" OR t = tree THEN commit_id END IGNORE NULLS) OVER (PARTITION BY repo ORDER BY at, n ROWS UNBOUNDED PRECEDING) AS mapped FROM x)"
+
+
+@_add("find_original", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(at, n)) AS original FROM k GROUP BY repo, mapped")
+def _original(spark: SparkSession, d: str) -> DataFrame:
+    return history.find_original(history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]), ["at", "n"])
+
+
+@_add("oldest_similar", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(at, n)) AS oldest, max_by(commit_id, row(at, n)) AS newest, count(*) AS n FROM k GROUP BY repo, mapped")
+def _similar(spark: SparkSession, d: str) -> DataFrame:
+    return history.contiguous(history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]), ["at", "n"])
+
+
+@_add("history_window", f"WITH {SQL_ORDERS}, x AS (SELECT repo, commit_id, row_number() OVER (PARTITION BY repo ORDER BY at DESC, n DESC) - 1 AS place FROM o) SELECT * FROM x WHERE place BETWEEN 1 AND 3")
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return history.history(lifts.order_commits(spark, d), ["at", "n"], 3, 1).select("repo", "commit_id", F.col("place").cast("bigint").alias("place"))
+
+
+@_add("pin_first_parent", "SELECT l_suppkey AS repo, l_partkey AS path, l_orderkey AS n, l_linenumber AS line, CASE WHEN l_partkey % 2 = 0 THEN first_value(l_shipdate) OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_shipdate ROWS UNBOUNDED PRECEDING) ELSE l_shipdate END AS oid FROM lineitem")
+def _pin(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("n"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("oid"))
+    w = Window.partitionBy("repo", "path").orderBy("n", "line", "oid").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("oid", F.when(F.col("path") % 2 == 0, F.first("oid").over(w)).otherwise(F.col("oid")))
+
+
+@_add("fold_accumulate", "WITH c AS (SELECT o_custkey AS repo, o_orderkey AS pos, o_orderpriority AS path FROM orders), s AS (SELECT repo, path, min(pos) AS since FROM c GROUP BY 1, 2), g AS (SELECT c.repo, c.pos, s.path FROM c JOIN s ON c.repo = s.repo AND c.pos >= s.since) SELECT g.repo, g.pos, g.path, max(e.pos) AS oid FROM g JOIN c e ON e.repo = g.repo AND e.path = g.path AND e.pos <= g.pos GROUP BY 1, 2, 3")
+def _fold(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("path"))
+    return history.accumulate_linear(c.withColumn("oid", F.col("pos")), c).select("repo", "pos", "path", "oid")
+
+
+@_add("author_rewrite", "SELECT CAST(conv_id AS VARCHAR) AS repo, conv_id || '-' || turn AS commit_id, 'New' AS name, 'new@example.com' AS email, turn AS ts FROM conversations")
+def _author(spark: SparkSession, d: str) -> DataFrame:
+    return history.rewrite_author(lifts.conv_commits(spark, d), "New", "new@example.com").select("repo", "commit_id", "author.name", "author.email", "author.ts")
+
+
+@_add("message_template", "SELECT conv_id || '-' || turn AS commit_id, 'at ' || conv_id || '-' || turn || ' of ' || sha1(text) AS message FROM conversations")
+def _message(spark: SparkSession, d: str) -> DataFrame:
+    return history.rewrite_message(lifts.conv_commits(spark, d), "at {@} of {#}").select("commit_id", "message")
+
+
+@_add("commit_summary", "SELECT conv_id || '-' || turn AS commit_id, split_part(text, chr(10), 1) AS summary, strftime(make_timestamp(turn * 1000000), '%Y-%m-%d %H:%M:%S') AS date FROM conversations")
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    return lifts.conv_commits(spark, d).select("commit_id", text.summary(F.col("message")).alias("summary"), text.strftime(F.col("author.ts"), "%Y-%m-%d %H:%M:%S").alias("date"))
+
+
+@_add("trailers", "SELECT c_custkey, 'c' || c_nationkey AS change_id, c_mktsegment AS series FROM customer")
+def _trailers(spark: SparkSession, d: str) -> DataFrame:
+    message = F.concat(F.lit("Title\n\nBody: text\nmore\n\nChange: old\nChange-Series: "), "c_mktsegment", F.lit("\nChange-Id: c"), "c_nationkey", F.lit("\n"))
+    m = read_table(spark, d, "customer").select("c_custkey", message.alias("m"))
+    return m.select("c_custkey", text.change_id(F.col("m")).alias("change_id"), text.change_series(F.col("m"))[0].alias("series"))
+
+
+# Graphs.
+
+
+@_add("linear_first_parent", f"WITH {SQL_DAG} SELECT repo, commit_id, parent AS parent_id FROM edge WHERE ix = 0")
+def _first_parent(spark: SparkSession, d: str) -> DataFrame:
+    return history.parent_edges(lifts.event_dag(spark, d)).where("parent_ix = 0").select("repo", "commit_id", "parent_id")
+
+
+@_add("sequence_number", f"WITH RECURSIVE {SQL_DAG}, r AS (SELECT repo, commit_id, 0 AS seq FROM dag WHERE coalesce(a, b) IS NULL UNION SELECT e.repo, e.commit_id, r.seq + 1 FROM r JOIN edge e ON e.repo = r.repo AND e.parent = r.commit_id) SELECT repo, commit_id, CAST(max(seq) AS BIGINT) AS seq FROM r GROUP BY 1, 2")
+def _sequence(spark: SparkSession, d: str) -> DataFrame:
+    return history.sequence_numbers(lifts.event_dag(spark, d)).select("repo", "commit_id", "seq")
+
+
+@_add("reachable_roots", f"WITH RECURSIVE {SQL_DAG}, r AS (SELECT repo, commit_id, commit_id AS root FROM dag WHERE coalesce(a, b) IS NULL UNION SELECT e.repo, e.commit_id, r.root FROM r JOIN edge e ON e.repo = r.repo AND e.parent = r.commit_id) SELECT repo, commit_id, count(*) AS n_roots, min(root) AS root FROM r GROUP BY 1, 2")
+def _roots(spark: SparkSession, d: str) -> DataFrame:
+    found = history.sequence_numbers(lifts.event_dag(spark, d))
+    return found.select("repo", "commit_id", F.size("roots").cast("bigint").alias("n_roots"), F.array_min("roots").alias("root"))
+
+
+_TIP = "SELECT repo, max(id) AS tip, CAST(quantile_disc(id, 0.5) AS BIGINT) AS mid FROM dag GROUP BY repo"
+_REACH = f"WITH RECURSIVE {SQL_DAG}, t AS ({_TIP}), up AS (SELECT repo, CAST(tip AS VARCHAR) AS commit_id FROM t UNION SELECT e.repo, e.parent FROM up JOIN edge e ON e.repo = up.repo AND e.commit_id = up.commit_id), lo AS (SELECT repo, CAST(mid AS VARCHAR) AS commit_id FROM t UNION SELECT e.repo, e.parent FROM lo JOIN edge e ON e.repo = lo.repo AND e.commit_id = lo.commit_id)"
+
+
+def _tips(spark: SparkSession, d: str) -> DataFrame:
+    g = lifts.event_dag(spark, d).withColumn("id", F.col("commit_id").cast("bigint"))
+    t = g.groupBy("repo").agg(F.max("id").alias("tip"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY id)").cast("bigint").alias("mid"))
+    return g.join(t, "repo")
+
+
+@_add("ancestors", _REACH + " SELECT repo, commit_id FROM up")
+def _ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return history.ancestors(_tips(spark, d), F.col("id") == F.col("tip"))
+
+
+@_add("range_base_tip", _REACH + " SELECT repo, commit_id FROM up EXCEPT SELECT repo, commit_id FROM lo")
+def _range(spark: SparkSession, d: str) -> DataFrame:
+    g = _tips(spark, d)
+    return history.commit_range(g, F.col("id") == F.col("mid"), F.col("id") == F.col("tip"))
+
+
+@_add("merge_base")
+def _merge_base(spark: SparkSession, d: str) -> DataFrame:
+    return history.merge_bases(_tips(spark, d), F.col("id") == F.col("mid"), F.col("id") == F.col("tip"))
+
+
+@_add("rev_first_match", _REACH.replace("t AS (SELECT repo, max(id) AS tip, CAST(quantile_disc(id, 0.5) AS BIGINT) AS mid FROM dag GROUP BY repo)", "t AS (SELECT repo, id AS tip, id AS mid FROM dag WHERE commit_id = '500')") + " SELECT dag.repo, dag.commit_id, CASE WHEN dag.commit_id = '500' THEN 'at' WHEN up.commit_id IS NOT NULL THEN 'old' ELSE 'new' END AS chosen FROM dag LEFT JOIN up ON up.repo = dag.repo AND up.commit_id = dag.commit_id")
+def _rev(spark: SparkSession, d: str) -> DataFrame:
+    return history.first_match(lifts.event_dag(spark, d), [("==", "500", "at"), ("<", "500", "old"), ("_", "", "new")]).select("repo", "commit_id", "chosen")
+
+
+def _viewed(spark: SparkSession, d: str) -> DataFrame:
+    return lifts.event_dag(spark, d).withColumns({"tree": F.col("commit_id"), "view": F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type"))})
+
+
+@_add("simplify_graph")
+def _simplify(spark: SparkSession, d: str) -> DataFrame:
+    return history.simplify(_viewed(spark, d))
+
+
+@_add("squash_selected")
+def _squash(spark: SparkSession, d: str) -> DataFrame:
+    return history.squash(lifts.event_dag(spark, d), F.col("event_type") == "purchase")
+
+
+@_add("prune_trivial_merge", f"WITH {SQL_DAG} SELECT c.repo, c.commit_id, p.commit_id AS mapped FROM dag c JOIN dag p ON p.repo = c.repo AND p.id = c.a WHERE c.b IS NOT NULL AND c.a <> c.b AND c.event_type = p.event_type")
+def _prune(spark: SparkSession, d: str) -> DataFrame:
+    return history.prune_trivial_merges(lifts.event_dag(spark, d).withColumn("view", F.col("event_type")))
+
+
+@_add("changed_files", "WITH l AS (SELECT l_orderkey AS n, l_partkey AS path, max(l_suppkey) AS oid FROM lineitem GROUP BY 1, 2), c AS (SELECT o_custkey AS repo, o_orderkey AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders), x AS (SELECT repo, c.n, path, oid FROM c JOIN l ON l.n = c.n), y AS (SELECT repo, c.n, path, oid FROM c JOIN l ON l.n = c.before) SELECT repo, n, path, CASE WHEN y.oid IS NULL THEN 1 WHEN x.oid IS NULL THEN -1 ELSE 0 END AS change FROM x FULL JOIN y USING (repo, n, path) WHERE x.oid IS DISTINCT FROM y.oid")
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    files = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("n"), F.col("l_partkey").alias("path")).agg(F.max("l_suppkey").alias("oid"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    c = read_table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("n"), F.lag("o_orderkey").over(w).alias("before"))
+    tree = F.struct("repo", "n").alias("tree_id")
+    now = c.join(files, "n").select(tree, "path", "oid")
+    then = c.join(files.withColumnRenamed("n", "before"), "before").select(tree, "path", "oid")
+    return setops.diff(then, now).select("tree_id.repo", "tree_id.n", "path", "change")
+
+
+# Changes and reviews.
+
+
+@_add("change_deps", "WITH t AS (SELECT DISTINCT l_suppkey AS scope, l_orderkey AS id, l_partkey AS key FROM lineitem) SELECT DISTINCT scope, id, needs FROM (SELECT scope, id, lag(id) OVER (PARTITION BY scope, key ORDER BY id) AS needs FROM t) WHERE needs IS NOT NULL")
+def _deps(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scope"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("key")).distinct()
+    return changes.dependencies(t, "id")
+
+
+@_add("downstack")
+def _downstack(spark: SparkSession, d: str) -> DataFrame:
+    lines = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("keys"))
+    o = read_table(spark, d, "orders").join(lines, "o_orderkey")
+    return history.downstack(o.select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("commit_id"), F.col("o_orderkey").alias("place"), "keys"))
+
+
+@_add("change_duplicates", "SELECT CAST(c_nationkey AS VARCHAR) AS repo, c_mktsegment AS change_id, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return changes.duplicates(read_table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("repo"), F.col("c_mktsegment").alias("change_id")))
+
+
+@_add("comment_threads", "WITH RECURSIVE c AS (SELECT conv_id AS scope, turn AS id, CASE WHEN turn % 4 = 0 THEN NULL ELSE turn - 1 END AS reply_to FROM conversations), r AS (SELECT scope, id, id AS root, 0 AS depth FROM c WHERE reply_to IS NULL UNION ALL SELECT c.scope, c.id, r.root, r.depth + 1 FROM c JOIN r ON r.scope = c.scope AND r.id = c.reply_to) SELECT * FROM r")
+def _threads(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations").select(F.col("conv_id").alias("scope"), F.col("turn").alias("id"), F.when(F.col("turn") % 4 != 0, F.col("turn") - 1).alias("reply_to"), F.col("turn").alias("ts"))
+    return changes.threads(c).select("scope", "id", "root", "depth")
+
+
+@_add("votes_latest", "SELECT user_id, max_by(event_type, row(ts, event_id)) AS state FROM events GROUP BY user_id")
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return changes.latest(read_table(spark, d, "events").withColumnRenamed("event_type", "state"), ["user_id"], ["ts", "event_id"], "state")
+
+
+@_add("revisions_first_seen", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def _revisions(spark: SparkSession, d: str) -> DataFrame:
+    return changes.first_seen(read_table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
+
+
+@_add("pr_assembly", "SELECT o_custkey AS scope, o_orderdate AS id, max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS head, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS base FROM orders GROUP BY 1, 2 HAVING max(CASE WHEN o_orderstatus = 'O' THEN 1 END) = 1 AND max(CASE WHEN o_orderstatus = 'F' THEN 1 END) = 1")
+def _prs(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "O", "change").when(F.col("o_orderstatus") == "F", "base")
+    return changes.pull_requests(read_table(spark, d, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderdate").alias("id"), kind.alias("kind"), F.col("o_orderkey").alias("oid")))
+
+
+@_add("restack", "SELECT o_orderkey AS change_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _restack(spark: SparkSession, d: str) -> DataFrame:
+    gone = read_table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("change_id"))
+    return changes.restack(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("change_id")), gone)
+
+
+@_add("link_refs_distinct", "SELECT DISTINCT n_name AS remote, c_mktsegment AS \"commit\" FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    n = F.broadcast(read_table(spark, d, "nation"))
+    return read_table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("remote"), F.col("c_mktsegment").alias("commit")).distinct()
+
+
+@_add("known_filters", f"WITH {SQL_DOCS} SELECT ':/' || split_part(path, '/', 1) AS spec FROM d UNION SELECT ':/' || split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM d")
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    dirs = setops.dirs(lifts.doc_files(spark, d))
+    return changes.known_filters(dirs, dirs.where("false"))
+
+
+@_add("job_topo_order", "WITH RECURSIVE i AS (SELECT n_nationkey AS job, n_nationkey // 2 AS needs FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey - 3 FROM nation WHERE n_nationkey > 3), r AS (SELECT 0 AS job, 0 AS level UNION SELECT i.job, r.level + 1 FROM i JOIN r ON r.job = i.needs UNION SELECT job, 0 FROM i WHERE job NOT IN (SELECT job FROM i)) SELECT job, max(level) AS level FROM r GROUP BY job")
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    n = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("job"))
+    a = n.where("job > 0").withColumn("needs", F.expr("job div 2").cast("int"))
+    return changes.job_levels(a.unionByName(n.where("job > 3").withColumn("needs", F.col("job") - 3)))
+
+
+@_add("admission_state", "WITH e AS (SELECT user_id AS change, CASE WHEN event_type IN ('purchase', 'signup') THEN 'check' ELSE 'review' END AS kind, event_type AS name, CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 1 THEN 'approved' ELSE 'changes_requested' END AS state, event_id FROM events), l AS (SELECT change, kind, name, max_by(state, event_id) AS state FROM e GROUP BY 1, 2, 3), s AS (SELECT change, count(*) FILTER (kind = 'review' AND state = 'approved') AS approvals, count(*) FILTER (kind = 'review' AND state = 'changes_requested') AS refusals, count(*) FILTER (kind = 'check' AND name = 'purchase' AND state = 'success') AS passing FROM l GROUP BY 1) SELECT change, approvals > 0 AND refusals = 0 AND passing = 1 AS admissible, approvals, 1 - passing AS failing FROM s")
+def _admission(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "check").otherwise("review")
+    state = F.when(F.col("event_id") % 3 == 0, "success").when(F.col("event_id") % 3 == 1, "approved").otherwise("changes_requested")
+    e = read_table(spark, d, "events").select(F.col("user_id").alias("change"), kind.alias("kind"), F.col("event_type").alias("name"), state.alias("state"), "event_id")
+    return admission.batch(e, ["purchase"], ["event_id"])
+
+
+# Search.
+
+_FOLDED = "regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x5E\\x60\\x7B-\\x7F]', ' ', 'g')"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "conversations").select(F.lit("c").alias("tree_id"), F.concat_ws("/", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
+
+
+@_add("trigram_postings", f"WITH t AS (SELECT conv_id || '/' || turn AS path, {_FOLDED} AS f FROM conversations) SELECT DISTINCT path, substr(f, i, 3) AS trigram FROM (SELECT path, f, unnest(range(1, length(f) - 1)) AS i FROM t WHERE length(f) >= 3)")
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(_items(spark, d)).select("path", "trigram")
+
+
+@_add("search_candidates", f"WITH t AS (SELECT conv_id || '/' || turn AS path, {_FOLDED} AS f FROM conversations) SELECT path FROM t WHERE contains(f, 'tio') AND contains(f, 'ion') AND contains(f, 'onr') AND contains(f, 'nre')")
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return search.candidates(search.postings(_items(spark, d)), _items(spark, d), "tionre").select("path")
+
+
+@_add("search_matches", f"WITH {SQL_DOCS}, l AS (SELECT path, string_split(regexp_replace(content, chr(10) || '$', ''), chr(10)) AS parts FROM d WHERE content <> '') SELECT path, i AS line, parts[i] AS text FROM (SELECT path, parts, unnest(range(1, len(parts) + 1)) AS i FROM l) WHERE contains(parts[i], 'License')")
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return search.matches(lifts.doc_files(spark, d), "License").select("path", F.col("line").cast("bigint").alias("line"), "text")
+
+
+__all__ = ["entry_query", "oracle_sql", "queries", "rewrite"]
