@@ -116,7 +116,7 @@ def _warnings(spark: SparkSession, d: str) -> DataFrame:
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two trees of the same paths: parts of even keys, and parts of keys divisible by 3 with other content for key % 5 = 0."""
     p = lifts.part_files(spark, d)
-    key = hashes.base_name(F.col("path")).cast("bigint")
+    key = F.expr("try_cast(substring_index(path, '/', -1) as bigint)")
     a = p.where(key % 2 == 0)
     b = p.where(key % 3 == 0).withColumn("content", F.when(key % 5 == 0, "new").otherwise(F.col("content")))
     return a, b.withColumn("oid", hashes.blob_id(F.col("content")))
@@ -211,27 +211,27 @@ def _marker_merge(spark: SparkSession, d: str) -> DataFrame:
 # Histories of one line.
 
 
-@_add("drop_unchanged_commits", f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY at, n)) SELECT repo, commit_id, v IS NULL OR v <> \"view\" OR t = tree AS kept FROM x")
+@_add("drop_unchanged_commits", f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY day, n)) SELECT repo, commit_id, v IS NULL OR v <> \"view\" OR t = tree AS kept FROM x")
 def _drop(spark: SparkSession, d: str) -> DataFrame:
-    return history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]).select("repo", "commit_id", "kept")
+    return history.simplify_linear(lifts.order_commits(spark, d), ["day", "n"]).select("repo", "commit_id", "kept")
 
 
-_KEPT = f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY at, n)), k AS (SELECT *, last_value(CASE WHEN v IS NULL OR v <> \"view\" OR t = tree THEN commit_id END IGNORE NULLS) OVER (PARTITION BY repo ORDER BY at, n ROWS UNBOUNDED PRECEDING) AS mapped FROM x)"
+_KEPT = f"WITH {SQL_ORDERS}, x AS (SELECT *, lag(\"view\") OVER w AS v, lag(tree) OVER w AS t FROM o WINDOW w AS (PARTITION BY repo ORDER BY day, n)), k AS (SELECT *, last_value(CASE WHEN v IS NULL OR v <> \"view\" OR t = tree THEN commit_id END IGNORE NULLS) OVER (PARTITION BY repo ORDER BY day, n ROWS UNBOUNDED PRECEDING) AS mapped FROM x)"
 
 
-@_add("find_original", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(at, n)) AS original FROM k GROUP BY repo, mapped")
+@_add("find_original", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(day, n)) AS original FROM k GROUP BY repo, mapped")
 def _original(spark: SparkSession, d: str) -> DataFrame:
-    return history.find_original(history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]), ["at", "n"])
+    return history.find_original(history.simplify_linear(lifts.order_commits(spark, d), ["day", "n"]), ["day", "n"])
 
 
-@_add("oldest_similar", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(at, n)) AS oldest, max_by(commit_id, row(at, n)) AS newest, count(*) AS n FROM k GROUP BY repo, mapped")
+@_add("oldest_similar", _KEPT + " SELECT repo, mapped, min_by(commit_id, row(day, n)) AS oldest, max_by(commit_id, row(day, n)) AS newest, count(*) AS n FROM k GROUP BY repo, mapped")
 def _similar(spark: SparkSession, d: str) -> DataFrame:
-    return history.contiguous(history.simplify_linear(lifts.order_commits(spark, d), ["at", "n"]), ["at", "n"])
+    return history.contiguous(history.simplify_linear(lifts.order_commits(spark, d), ["day", "n"]), ["day", "n"])
 
 
-@_add("history_window", f"WITH {SQL_ORDERS}, x AS (SELECT repo, commit_id, row_number() OVER (PARTITION BY repo ORDER BY at DESC, n DESC) - 1 AS place FROM o) SELECT * FROM x WHERE place BETWEEN 1 AND 3")
+@_add("history_window", f"WITH {SQL_ORDERS}, x AS (SELECT repo, commit_id, row_number() OVER (PARTITION BY repo ORDER BY day DESC, n DESC) - 1 AS place FROM o) SELECT * FROM x WHERE place BETWEEN 1 AND 3")
 def _history(spark: SparkSession, d: str) -> DataFrame:
-    return history.history(lifts.order_commits(spark, d), ["at", "n"], 3, 1).select("repo", "commit_id", F.col("place").cast("bigint").alias("place"))
+    return history.history(lifts.order_commits(spark, d), ["day", "n"], 3, 1).select("repo", "commit_id", F.col("place").cast("bigint").alias("place"))
 
 
 @_add("pin_first_parent", "SELECT l_suppkey AS repo, l_partkey AS path, l_orderkey AS n, l_linenumber AS line, CASE WHEN l_partkey % 2 = 0 THEN first_value(l_shipdate) OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_shipdate ROWS UNBOUNDED PRECEDING) ELSE l_shipdate END AS oid FROM lineitem")
@@ -410,7 +410,7 @@ def _known(spark: SparkSession, d: str) -> DataFrame:
     return changes.known_filters(dirs, dirs.where("false"))
 
 
-@_add("job_topo_order", "WITH RECURSIVE i AS (SELECT n_nationkey AS job, n_nationkey // 2 AS needs FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey - 3 FROM nation WHERE n_nationkey > 3), r AS (SELECT 0 AS job, 0 AS level UNION SELECT i.job, r.level + 1 FROM i JOIN r ON r.job = i.needs UNION SELECT job, 0 FROM i WHERE job NOT IN (SELECT job FROM i)) SELECT job, max(level) AS level FROM r GROUP BY job")
+@_add("job_topo_order", "WITH RECURSIVE i AS MATERIALIZED (SELECT n_nationkey AS job, n_nationkey // 2 AS needs FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey - 3 FROM nation WHERE n_nationkey > 3), r AS (SELECT DISTINCT needs AS job, 0 AS level FROM i WHERE needs NOT IN (SELECT job FROM i) UNION SELECT i.job, r.level + 1 FROM i JOIN r ON r.job = i.needs) SELECT job, max(level) AS level FROM r GROUP BY job")
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     n = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("job"))
     a = n.where("job > 0").withColumn("needs", F.expr("job div 2").cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import text
+from grovekit.sources.sharing import cut
 
 
 def changes(commits: DataFrame) -> DataFrame:
@@ -44,16 +45,14 @@ def dependencies(touched: DataFrame, order: str) -> DataFrame:
 
 def threads(comments: DataFrame, most: int = 50) -> DataFrame:
     """Comments (scope, id, reply_to, ts) with their thread's ``root`` and ``depth``; a join a level."""
-    parents = comments.select("scope", "id", "reply_to")
     level = comments.where(F.col("reply_to").isNull()).select("scope", "id", "ts", F.col("id").alias("root"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, most + 1):
         up = level.select("scope", F.col("id").alias("reply_to"), "root")
-        level = comments.where(F.col("reply_to").isNotNull()).join(up, ["scope", "reply_to"]).select("scope", "id", "ts", "root", F.lit(depth).alias("depth"))
+        level = cut(comments.where(F.col("reply_to").isNotNull()).join(up, ["scope", "reply_to"]).select("scope", "id", "ts", "root", F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    del parents
     return out
 
 
@@ -102,12 +101,12 @@ def job_levels(inputs: DataFrame, most: int = 100) -> DataFrame:
 
     A grouped join for each level of the graph; a job stays in play while its level grows.
     """
-    edges = inputs.distinct()
+    edges = cut(inputs.distinct())
     jobs = edges.select("job").unionByName(edges.select(F.col("needs").alias("job"))).distinct()
     front = jobs.join(edges, "job", "left_anti").select("job", F.lit(0).alias("level"))
     found = front
     for level in range(1, most + 1):
-        front = edges.join(front.select(F.col("job").alias("needs")), "needs").select("job").distinct().withColumn("level", F.lit(level))
+        front = cut(edges.join(front.select(F.col("job").alias("needs")), "needs").select("job").distinct().withColumn("level", F.lit(level)))
         if front.isEmpty():
             return found.groupBy("job").agg(F.max("level").alias("level"))
         found = found.unionByName(front)

@@ -17,8 +17,12 @@ def fold_text(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The distinct three-character windows of the folded text."""
-    t = fold_text(text)
-    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))))
+    def windows(t: Column) -> Column:
+        c = F.split(t, "", -1)
+        return F.transform(F.array(c), lambda x: F.transform(F.sequence(F.lit(0), F.length(t) - 3), lambda i: F.concat(x[i], x[i + 1], x[i + 2])))[0]
+
+    # Bound once by a lambda: folding is not done again for each window, nor characters counted from the start.
+    return F.transform(F.array(fold_text(text)), lambda t: F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(windows(t))))[0]
 
 
 def postings(files: DataFrame) -> DataFrame:

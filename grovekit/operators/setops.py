@@ -36,12 +36,12 @@ def _met(a: DataFrame, b: DataFrame, same_source: bool) -> DataFrame:
 
 def subtract(a: DataFrame, b: DataFrame, same_source: bool = False) -> DataFrame:
     """Entries of ``a`` that meet none of ``b``."""
-    return a.join(_met(a, b, same_source), KEY, "left_anti")
+    return a.join(_met(a, b, same_source), KEY, "left_anti").select(*a.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame, same_source: bool = False) -> DataFrame:
     """Entries of ``a``, with its content, that meet one of ``b``."""
-    return a.join(_met(a, b, same_source), KEY, "left_semi")
+    return a.join(_met(a, b, same_source), KEY, "left_semi").select(*a.columns)
 
 
 def overlay(a: DataFrame, b: DataFrame, same_source: bool = False) -> DataFrame:

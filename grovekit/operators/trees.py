@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import hashes
@@ -87,7 +87,7 @@ def _refuse(f: Node) -> DataFrame:
 
 
 def _moved(x: DataFrame, path: Column) -> DataFrame:
-    return x.select("tree_id", path.alias("path"), "mode", "oid", "content")
+    return x.withColumn("path", path)
 
 
 def _subdir(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -124,18 +124,36 @@ def _subtract(f: Node, x: DataFrame, env: Env) -> DataFrame:
 
 
 def _compose(f: Node, x: DataFrame, env: Env) -> DataFrame:
+    """Every source entry goes to the first branch that shows it; where targets meet, the last branch's entry stays.
+
+    The branches' views are one union, in which entries carry the path they come from. Two groupings by
+    window decide: the lowest branch of a source, and the highest at a target or at a directory above it.
+    """
+    for b in f.args:
+        rewrite.invert(b)  # a branch without an inverse has no source to claim
     if rewrite.disjoint([rewrite.source_prefix(b) for b in f.args]) and rewrite.disjoint([rewrite.target_prefix(b) for b in f.args]):
         return reduce(lambda p, q: p.unionByName(q), (_lower(b, x, env) for b in f.args))
-    result = taken = None
-    for b in f.args:
-        view = _lower(b, x, env)
-        if result is None:
-            result, taken = view, _lower(rewrite.invert(b), view, env)
-            continue
-        fresh = view if rewrite.is_generative(b) else setops.subtract(view, _lower(b, taken, env))
-        result = setops.overlay(fresh, result)
-        taken = setops.overlay(taken, _lower(rewrite.invert(b), view, env))
-    return result if result is not None else x.where(F.lit(False))
+    names, source, branch = x.columns, f"source{len(x.columns)}", f"branch{len(x.columns)}"
+    traced = x.withColumn(source, F.col("path"))
+    views = [_lower(b, traced, env).withColumn(branch, F.lit(i)) for i, b in enumerate(f.args)]
+    if not views:
+        return x.where(F.lit(False))
+    all_ = reduce(lambda p, q: p.unionByName(q), views)
+    claimed = F.min(branch).over(Window.partitionBy("tree_id", source))
+    fresh = all_.withColumn("claim", claimed).where(F.col(source).isNull() | (F.col(branch) == F.col("claim"))).drop("claim", source)
+    # One row for each path and each directory above it; an entry must not be beaten at any of them.
+    spread = fresh.withColumn("at", F.explode(F.concat(F.array("path"), setops.ancestors("path"))))
+    here = F.col("at") == F.col("path")
+    by_place = Window.partitionBy("tree_id", "at")
+    judged = spread.withColumns({"file": F.max(F.when(here, F.col(branch))).over(by_place), "any": F.max(branch).over(by_place)})
+    beaten = F.when(here, F.col("any") > F.col(branch)).otherwise(F.coalesce(F.col("file") > F.col(branch), F.lit(False)))
+    lost = F.max(beaten).over(Window.partitionBy("tree_id", "path", branch))
+    return judged.withColumn("lost", lost).where(here & ~F.col("lost")).select(*names)
+
+
+def _made(rows: DataFrame, x: DataFrame) -> DataFrame:
+    """Entries that come from no entry of ``x``, with what else its rows carry left null."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(x.schema[c].dataType).alias(c) for c in x.columns])
 
 
 def _insert(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -145,7 +163,7 @@ def _insert(f: Node, x: DataFrame, env: Env) -> DataFrame:
         if not path:
             raise FilterError("a blob can't be the root")
         content = F.lit(what)
-        return trees.select("tree_id", F.lit(path).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(content).alias("oid"), content.alias("content"))
+        return _made(trees.select("tree_id", F.lit(path).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(content).alias("oid"), content.alias("content")), x)
     if env.objects is None:
         raise FilterError(f"object {what} is not at hand")
     found = env.objects.where(F.col("oid") == what)
@@ -153,7 +171,7 @@ def _insert(f: Node, x: DataFrame, env: Env) -> DataFrame:
         raise FilterError(f"no object {what}")
     at = F.concat_ws("/", *([F.lit(path)] if path else []), F.when(F.col("path") != "", F.col("path")))
     rows = found.select(F.lit(1).alias("one"), at.alias("path"), "mode", F.col("leaf_oid").alias("oid"), "content")
-    return trees.withColumn("one", F.lit(1)).join(rows, "one").select(*COLUMNS)
+    return _made(trees.withColumn("one", F.lit(1)).join(rows, "one").select(*COLUMNS), x)
 
 
 def java_regex(pattern: str) -> str:
@@ -170,18 +188,18 @@ def _replace(f: Node, x: DataFrame, env: Env) -> DataFrame:
     for pattern, to in f.args:
         text = F.regexp_replace(text, F.lit(java_regex(pattern)), F.lit(java_replacement(to)))
     kept = x.where(F.col("mode") != hashes.GITLINK)
-    return kept.withColumn("content", text).withColumn("oid", hashes.blob_id(F.col("content"))).select(*COLUMNS)
+    return kept.withColumn("content", text).withColumn("oid", hashes.blob_id(F.col("content")))
 
 
 def _paths(f: Node, x: DataFrame, env: Env) -> DataFrame:
     is_workspace = hashes.base_name(F.col("path")) == env.workspace_file
     content = F.when(is_workspace, F.concat(F.lit("#"), "path", F.lit("\n"), F.coalesce("content", F.lit("")))).otherwise(F.col("path"))
-    return x.where(F.col("mode") != hashes.GITLINK).withColumn("content", content).withColumn("oid", hashes.blob_id(F.col("content"))).select(*COLUMNS)
+    return x.where(F.col("mode") != hashes.GITLINK).withColumn("content", content).withColumn("oid", hashes.blob_id(F.col("content")))
 
 
 def _transpose(f: Node, x: DataFrame, env: Env) -> DataFrame:
     turned = x.groupBy("tree_id", F.col("content").alias("path")).agg(F.max("path").alias("content"), F.max("mode").alias("mode"))
-    return turned.withColumn("oid", hashes.blob_id(F.col("content"))).select(*COLUMNS)
+    return _made(turned.withColumn("oid", hashes.blob_id(F.col("content"))), x)
 
 
 def levels_of(x: DataFrame) -> int:
@@ -196,7 +214,7 @@ def root_ids(x: DataFrame) -> DataFrame:
 def _treeid(f: Node, x: DataFrame, env: Env) -> DataFrame:
     path, inner = f.args
     ids = root_ids(_lower(inner, x, env))
-    return ids.select("tree_id", F.lit(path).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("oid")).alias("oid"), F.col("oid").alias("content"))
+    return _made(ids.select("tree_id", F.lit(path).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("oid")).alias("oid"), F.col("oid").alias("content")), x)
 
 
 def _objectref(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -206,7 +224,7 @@ def _objectref(f: Node, x: DataFrame, env: Env) -> DataFrame:
     trees = hashes.tree_ids(_subdir(n.subdir(path), below, env), max(1, levels_of(below))).where("path = ''").select("tree_id", "oid")
     found = files.unionByName(trees)
     made = found.select("tree_id", F.lit(path).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("oid")).alias("oid"), F.col("oid").alias("content"))
-    return made.unionByName(x.join(found.select("tree_id"), "tree_id", "left_anti").select(*COLUMNS))
+    return _made(made, x).unionByName(x.join(found.select("tree_id"), "tree_id", "left_anti").select(*x.columns))
 
 
 def _objectderef(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -215,11 +233,11 @@ def _objectderef(f: Node, x: DataFrame, env: Env) -> DataFrame:
     is_id = F.col("want").rlike(r"^[0-9a-f]{40}\z")
     empty = wanted.where(~is_id).select("tree_id", "path", F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.lit("")).alias("oid"), F.lit("").alias("content"))
     if env.objects is None:
-        return empty
+        return _made(empty, x)
     o = env.objects.select(F.col("oid").alias("want"), F.col("path").alias("below"), "mode", F.col("leaf_oid").alias("oid"), "content")
     found = wanted.where(is_id).select("tree_id", "path", "want").join(o, "want")
     at = F.when(F.col("below") == "", F.col("path")).otherwise(F.concat_ws("/", "path", "below"))
-    return empty.unionByName(found.select("tree_id", at.alias("path"), "mode", "oid", "content"))
+    return _made(empty.unionByName(found.select("tree_id", at.alias("path"), "mode", "oid", "content")), x)
 
 
 def _export(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -241,7 +259,7 @@ def _adapt(f: Node, x: DataFrame, env: Env) -> DataFrame:
     links = x.where(F.col("mode") == hashes.GITLINK).join(modules, setops.KEY)
     text = F.format_string('remote = "%s"\ncommit = "%s"\nfilter = ":/"\n', "url", "oid")
     made = links.select("tree_id", F.concat("path", F.lit("/" + env.link_file)).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(text).alias("oid"), text.alias("content"))
-    return x.where((F.col("path") != ".gitmodules") & (F.col("mode") != hashes.GITLINK)).unionByName(made)
+    return x.where((F.col("path") != ".gitmodules") & (F.col("mode") != hashes.GITLINK)).unionByName(_made(made, x))
 
 
 def _link(f: Node, x: DataFrame, env: Env) -> DataFrame:
@@ -256,7 +274,7 @@ def _link(f: Node, x: DataFrame, env: Env) -> DataFrame:
         tree = env.objects.join(here.select(F.col("commit").alias("oid")).distinct(), "oid", "left_semi").select(F.col("oid").alias("tree_id"), "path", "mode", F.col("leaf_oid").alias("oid"), "content")
         view = _lower(rewrite.optimize(parse(text)), tree, env).withColumnRenamed("tree_id", "commit")
         placed = here.drop("spec").join(view, "commit").select("tree_id", F.concat_ws("/", "dir", "path").alias("path"), "mode", "oid", "content")
-        out = setops.overlay(out, placed)
+        out = setops.overlay(out, _made(placed, x))
     return out
 
 
@@ -270,9 +288,9 @@ def _per_file(x: DataFrame, path: str, build: Callable[[Node], Node], env: Env,
             rewrite.invert(inner)
         except FilterError:
             inner = n.EMPTY
-        mine = x.join(texts.where(F.col("spec") == text), "tree_id", "left_semi")
+        mine = x.join(texts.where(F.col("spec") == text), "tree_id", "left_semi").select(*x.columns)
         out = out.unionByName(_lower(rewrite.optimize(build(inner)), mine, env))
-    rest = x.join(texts, "tree_id", "left_anti")
+    rest = x.join(texts, "tree_id", "left_anti").select(*x.columns)
     return out.unionByName(_lower(own, rest, env))
 
 

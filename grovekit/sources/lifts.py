@@ -48,10 +48,10 @@ def conv_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as a history of one line; a commit's view is the supplier month it shows."""
     o = read_table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("commit_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("n"), F.col("o_orderpriority").alias("tree"), F.substring("o_orderpriority", 1, 1).alias("view"))
+    return o.select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").cast("string").alias("commit_id"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("n"), F.col("o_orderpriority").alias("tree"), F.substring("o_orderpriority", 1, 1).alias("view"))
 
 
-SQL_ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, CAST(o_orderkey AS VARCHAR) AS commit_id, o_orderdate AS at, o_orderkey AS n, o_orderpriority AS tree, substr(o_orderpriority, 1, 1) AS \"view\" FROM orders)"
+SQL_ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS repo, CAST(o_orderkey AS VARCHAR) AS commit_id, o_orderdate AS day, o_orderkey AS n, o_orderpriority AS tree, substr(o_orderpriority, 1, 1) AS \"view\" FROM orders)"
 
 BUCKETS = 16
 
