@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it is fitted to the labels of the training fold."""
     short_batches(spark)
     model = mil_quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    kept = mil_quality.scored(docs, model, docs.columns).where(F.col("score") >= mil_quality.THRESHOLD)
+    kept = mil_quality.scored(docs, model, docs.columns, "stage_score").where(F.col("stage_score") >= mil_quality.THRESHOLD)
     return kept.select(*docs.columns)
 
 
@@ -32,10 +32,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row without an id is known by its text's hash, made negative. Rows that repeat an id count as one document.
     """
     short_batches(spark)
-    keyed = docs.withColumn("row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)))
-    found = simhash_ring.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"))
-    stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key")).distinct()
-    return keyed.join(stays, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    keyed = docs.withColumn("stage_row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)))
+    found = simhash_ring.near_duplicates(keyed.select(F.col("stage_row_key").alias("doc_id"), "text"))
+    stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stage_row_key")).distinct()
+    return keyed.join(stays, "stage_row_key", "left_semi").dropDuplicates(["stage_row_key"]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's SentencePiece ids, without its text."""
     short_batches(spark)
-    found = sentencepiece_scan.encode(docs, columns=[c for c in docs.columns if c != "text"])
+    found = sentencepiece_scan.encode(docs, columns=[c for c in docs.columns if c not in ("text", "ids", "n_tokens")])
     return found.withColumn("n_tokens", F.coalesce(F.expr("array_size(ids)"), F.lit(0)).cast("bigint"))
 
 

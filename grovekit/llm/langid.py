@@ -94,6 +94,8 @@ class Model:
         return cls(langs, (share - share.mean(1, keepdims=True)).astype(np.float32) if langs else share.astype(np.float32), seen)
 
     def scores(self, words: list[str]) -> np.ndarray:
+        if not self.langs:
+            return np.zeros((len(words), 0), np.float32)
         bucket, owner, script = grams(words)
         order = np.argsort(owner, kind="stable")
         at = np.searchsorted(owner[order], np.arange(len(words)))

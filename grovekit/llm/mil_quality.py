@@ -203,14 +203,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     return train([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows], np.array([r.label for r in rows], float))
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) for each row of ``docs``, or ``columns`` and the score."""
+def scored(docs: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """(doc_id, score) for each row of ``docs``, or ``columns`` and the score, called ``name``."""
 
     def make() -> Callable:
-        return lambda texts: {"score": model.scores(encode(texts)).tolist() if texts else []}
+        return lambda texts: {name: model.scores(encode(texts)).tolist() if texts else []}
 
     keep = columns or ["doc_id"]
-    return map_columns(docs, [*(c for c in keep if c != "text"), "text"], "score double", make, "text" in keep)
+    return map_columns(docs, [*(c for c in keep if c != "text"), "text"], f"`{name}` double", make, "text" in keep)
 
 
 def predicted(score: str = "score", threshold: float = THRESHOLD) -> F.Column:

@@ -150,22 +150,21 @@ def plan(narrow: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, blocks: in
     return laid.join(shards_of, ["mix_key", "mix_block"], "left")
 
 
-def _copies() -> Column:
-    return F.col("passes") + F.when(F.col("mix_h") <= F.col("cut"), 1).otherwise(0)
-
-
 def _with_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    planned = checkpointed(planned)
-    small = planned.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(planned) if small else planned, ["mix_key", "mix_block"])
+    """``docs`` with its block's part of the plan (all names begin with mix_) and mix_copies."""
+    named = checkpointed(planned.select("mix_key", "mix_block", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "passes", "cut", "shards")]))
+    small = named.count() <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(named) if small else named, ["mix_key", "mix_block"])
+    return joined.withColumn("mix_copies", F.col("mix_passes") + F.when(F.col("mix_h") <= F.col("mix_cut"), 1).otherwise(0))
 
 
 def decisions(docs: DataFrame, **options) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, taken and ``shards``, that of each copy."""
     blocks, seed = options.get("blocks", BLOCKS), options.get("seed", SEED)
     narrow = checkpointed(sizes(docs, blocks, seed))
-    joined = _with_plan(narrow, plan(narrow, **options)).withColumn("copies", _copies())
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("shards"))
+    joined = _with_plan(narrow, plan(narrow, **options))
+    shards = F.slice(F.coalesce("mix_shards", F.array().cast("array<int>")), F.lit(1), F.col("mix_copies"))
+    return joined.select("doc_id", "source", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), shards.alias("shards"))
 
 
 def mixed(docs: DataFrame, placed: bool = False, **options) -> DataFrame:
@@ -175,10 +174,9 @@ def mixed(docs: DataFrame, placed: bool = False, **options) -> DataFrame:
     """
     blocks, seed = options.get("blocks", BLOCKS), options.get("seed", SEED)
     narrow = checkpointed(sizes(docs, blocks, seed))
-    names = docs.columns
-    joined = _with_plan(_keyed(docs, blocks, seed), plan(narrow, **options)).withColumn("mix_copies", _copies())
-    drawn = joined.where("mix_copies > 0")
-    drawn = drawn.select(*[F.col(f"`{c}`") for c in names], "mix_h", F.posexplode(F.slice("shards", F.lit(1), F.col("mix_copies"))).alias("mix_pass", "mix_shard"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    drawn = _with_plan(_keyed(docs, blocks, seed), plan(narrow, **options)).where("mix_copies > 0")
+    drawn = drawn.select(*names, "mix_h", F.posexplode(F.slice("mix_shards", F.lit(1), F.col("mix_copies"))).alias("mix_pass", "mix_shard"))
     if placed:
         return drawn.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "mix_pass", "mix_h")).drop("mix_h", "mix_pass")
-    return drawn.select(*[F.col(f"`{c}`") for c in names])
+    return drawn.select(*names)

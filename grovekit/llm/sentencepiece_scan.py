@@ -301,12 +301,12 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, columns
     is_giant = F.length("text") > chunk
     added = "ids array<int>" + ", decoded_sha256 string" * decoded
     small = map_columns(docs.where(~F.coalesce(is_giant, F.lit(False))), [*columns, "text"], added, _make_encode(path, decoded))
-    giants = checkpointed(docs.where(is_giant).select(F.monotonically_increasing_id().alias("row"), *columns, "text"))
+    giants = checkpointed(docs.where(is_giant).select(F.monotonically_increasing_id().alias("encode_row"), *[F.col(f"`{c}`") for c in columns], "text"))
     if giants.isEmpty():
         return small
-    ids = checkpointed(encode_giants(giants.select("row", "text"), path, chunk))
-    large = giants.drop("text").join(decode(ids, path, ["row"], True) if decoded else ids, "row")
-    return small.unionByName(large.drop("row"))
+    ids = checkpointed(encode_giants(giants.select(F.col("encode_row").alias("row"), "text"), path, chunk))
+    made = (decode(ids, path, ["row"], True) if decoded else ids).withColumnRenamed("row", "encode_row")
+    return small.unionByName(giants.drop("text").join(made, "encode_row").drop("encode_row"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, columns: list[str] | None = None, digest: bool = False) -> DataFrame:
