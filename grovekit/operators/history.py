@@ -37,19 +37,39 @@ def _topological(ids: list, parents: dict) -> list:
     return out
 
 
+def _by_repo(rows: DataFrame, schema: str, work: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
+    """``work`` over each repository's rows. Many small ones share a batch, so that a group costs its rows and no more."""
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: list[dict] = []
+        out: list[tuple] = []
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                if held and held[0]["repo"] != row["repo"]:
+                    out += work(held)
+                    held = []
+                held.append(row)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if held:
+            out += work(held)
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition("repo").sortWithinPartitions("repo").mapInPandas(run, schema)
+
+
 def fold(commits: DataFrame, columns: list[str], schema: str, work: Callable[[dict, list], Iterable[tuple]]) -> DataFrame:
     """Each repository's graph handed to ``work``: rows by commit id, and the ids parents-first."""
-    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("commit_id")
-        rows = {r["commit_id"]: r for r in pdf.to_dict("records")}
-        parents = {k: list(r["parents"]) if r["parents"] is not None else [] for k, r in rows.items()}
-        for k, r in rows.items():
-            r["parents"] = parents[k]
-        return pd.DataFrame(list(work(rows, _topological(list(rows), parents))), columns=names)
+    def one(held: list[dict]) -> Iterable[tuple]:
+        rows = {r["commit_id"]: r for r in sorted(held, key=lambda r: r["commit_id"])}
+        for r in rows.values():
+            r["parents"] = list(r["parents"]) if r["parents"] is not None else []
+        return work(rows, _topological(list(rows), {k: r["parents"] for k, r in rows.items()}))
 
-    return commits.select("repo", "commit_id", "parents", *columns).groupBy("repo").applyInPandas(run, schema)
+    return _by_repo(commits.select("repo", "commit_id", "parents", *columns), schema, one)
 
 
 def sequence_numbers(commits: DataFrame) -> DataFrame:
@@ -277,18 +297,15 @@ def downstack(commits: DataFrame) -> DataFrame:
     if it shares a key with one that is needed already.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", ascending=False)
+    def work(held: list[dict]) -> Iterable[tuple]:
         need: set = set()
-        out = []
-        for i, r in enumerate(pdf.itertuples()):
-            keys = set(r.keys)
+        for i, r in enumerate(sorted(held, key=lambda r: -r["place"])):
+            keys = set(r["keys"])
             if i == 0 or keys & need:
                 need |= keys
-                out.append((r.repo, r.commit_id, r.place))
-        return pd.DataFrame(out, columns=["repo", "commit_id", "place"])
+                yield r["repo"], r["commit_id"], r["place"]
 
-    return commits.select("repo", "commit_id", "place", "keys").groupBy("repo").applyInPandas(run, "repo string, commit_id string, place long")
+    return _by_repo(commits.select("repo", "commit_id", "place", "keys"), "repo string, commit_id string, place long", work)
 
 
 def rewrite_author(commits: DataFrame, name: str, email: str, column: str = "author") -> DataFrame:
