@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import documents, hashes, text
-from grovekit.operators import changes, history, query, search, setops, trees
+from grovekit.operators import changes, history, query, search, setops, trees, views
 from grovekit.plans import rewrite
 from grovekit.plans.parser import parse
 from grovekit.sources import lifts
@@ -349,6 +349,21 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
     return setops.diff(then, now).select("tree_id.repo", "tree_id.n", "path", "change")
 
 
+@_add("filter_history")
+def _filter_history(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as histories of trees, one file a role, seen through a filter and simplified."""
+    c = lifts.conv_commits(spark, d).withColumn("tree", F.col("commit_id"))
+    name = F.concat("author.name", F.lit(".txt"))
+    files = c.select(F.col("tree").alias("tree_id"), name.alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("message")).alias("oid"), F.col("message").alias("content"))
+    return views.apply(":[::user.txt]:prefix=said", c, files).select("repo", "commit_id", "mapped", "kept", "view")
+
+
+@_add("rev_views", f"WITH {SQL_DOCS}, c AS (SELECT unnest(['1', '2', '3']) AS commit_id) SELECT commit_id, CASE WHEN commit_id <= '2' THEN 'old/' || path ELSE path END AS path FROM d, c WHERE commit_id <= '2' OR starts_with(path, 'en/')")
+def _rev_views(spark: SparkSession, d: str) -> DataFrame:
+    commits = spark.createDataFrame([("r", "1", "docs", []), ("r", "2", "docs", ["1"]), ("r", "3", "docs", ["2"])], "repo string, commit_id string, tree string, parents array<string>")
+    return views.by_revision([("<=", "2", ":prefix=old"), ("_", "", "::en/")], commits, lifts.doc_files(spark, d)).select("commit_id", "path")
+
+
 # Changes and reviews.
 
 

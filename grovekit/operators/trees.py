@@ -312,6 +312,15 @@ def _script(f: Node, x: DataFrame, env: Env) -> DataFrame:
     return _lower(rewrite.optimize(env.scripts[path](_lower(inner, x, env))), x, env)
 
 
+def _index(f: Node, x: DataFrame, env: Env) -> DataFrame:
+    """The trigram index as a tree: the trigram's three characters in hex as directories, then the path."""
+    from .search import postings
+
+    hexed = F.array_join(F.transform(F.split("trigram", "", -1), lambda c: F.lower(F.hex(F.encode(c, "UTF-8")))), "/")
+    rows = postings(x).select("tree_id", F.concat_ws("/", F.regexp_replace(hexed, "/+$", ""), "path").alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.lit("")).alias("oid"), F.lit("").alias("content"))
+    return _made(rows, x)
+
+
 def _same(f: Node, x: DataFrame, env: Env) -> DataFrame:
     return x
 
@@ -320,7 +329,7 @@ _LOWER = {
     "subdir": _subdir, "prefix": _prefix, "file": _file, "chain": _chain, "exclude": _exclude, "select": _select, "subtract": _subtract,
     "compose": _compose, "insert": _insert, "replace": _replace, "paths": _paths, "transpose": _transpose, "treeid": _treeid, "objectref": _objectref,
     "objectderef": _objectderef, "export": _export, "unlink": _unlink, "adapt": _adapt, "link": _link, "stored": _stored, "workspace": _workspace,
-    "script": _script, "pin": _same, "author": _same, "committer": _same, "message": _same, "unsign": _same, "prune": _same, "squash": _same,
+    "script": _script, "index": _index, "pin": _same, "author": _same, "committer": _same, "message": _same, "unsign": _same, "prune": _same, "squash": _same,
     "meta": lambda f, x, env: _lower(f.args[1], x, env),
 }
 
