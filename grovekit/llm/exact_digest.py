@@ -30,6 +30,8 @@ from .common import map_columns
 #: Rows aimed at in a range of doc_ids, and the number of ranges at most. Ranges are sorted and walked, never held.
 RANGE_ROWS = 2000
 RANGES = 4096
+#: The bitmap of repeated fingerprints has two to this power bits (512 KB), however many rows there are.
+BITS = 22
 
 
 def canonical(text: str | None) -> str:
@@ -64,19 +66,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_columns(docs, ["doc_id", "text"], "fingerprint string", _make_digest)
 
 
+def _repeated(docs: DataFrame) -> bytes:
+    """``2 ** BITS`` bits, set at the first bits of each fingerprint that more than one row has."""
+    seen = fingerprints(docs).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    first = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << BITS) - 1))
+    words = seen.select(F.shiftright(first, 6).alias("word"), F.pmod(first, F.lit(64)).cast("int").alias("bit"))
+    words = words.select("word", F.expr("shiftleft(1L, bit)").alias("set")).groupBy("word").agg(F.bit_or("set").alias("set"))
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    for r in words.collect():
+        bits[r.word] = r["set"]
+    return bits.tobytes()
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(fingerprint, member, first_doc_id, copies): the classes of equal canonical bytes.
 
-    ``member`` numbers the classes that share a fingerprint, 0 but for collisions of the hash.
+    ``member`` numbers the classes that share a fingerprint, 0 but for collisions of the hash. Bytes are
+    compared where a fingerprint may be that of several rows: a first pass over the fingerprints marks
+    those in a bitmap of fixed size, and a fingerprint of a single row needs no bytes to be told apart.
     """
     import zstandard
 
+    marks = _repeated(docs)
+
     def make() -> Callable:
         pack = zstandard.ZstdCompressor(level=3)
+        bits = np.frombuffer(marks, np.uint8)
+
+        def marked(fingerprint: str) -> bool:
+            at = int(fingerprint[:8], 16) & ((1 << BITS) - 1)
+            return bool(bits[at >> 3] >> (at & 7) & 1)
 
         def work(texts: list) -> dict:
             raws = [canonical(t).encode("utf-8", "surrogatepass") for t in texts]
-            return {"fingerprint": [digest_of(r) for r in raws], "packed": [pack.compress(r) for r in raws]}
+            found = [digest_of(r) for r in raws]
+            return {"fingerprint": found, "packed": [pack.compress(r) if marked(f) else b"" for f, r in zip(found, raws, strict=True)]}
 
         return work
 
