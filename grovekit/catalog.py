@@ -309,7 +309,7 @@ def _range(spark: SparkSession, d: str) -> DataFrame:
     return history.commit_range(g, F.col("id") == F.col("mid"), F.col("id") == F.col("tip"))
 
 
-@_add("merge_base")
+@_add("merge_base", _REACH + ", s AS (SELECT repo, commit_id, 0 AS seq FROM dag WHERE coalesce(a, b) IS NULL UNION SELECT e.repo, e.commit_id, s.seq + 1 FROM s JOIN edge e ON e.repo = s.repo AND e.parent = s.commit_id), shared AS (SELECT repo, commit_id FROM up INTERSECT SELECT repo, commit_id FROM lo), best AS (SELECT repo, commit_id FROM shared EXCEPT SELECT e.repo, e.parent FROM edge e JOIN shared x ON x.repo = e.repo AND x.commit_id = e.commit_id), n AS (SELECT repo, commit_id, max(seq) AS seq FROM s GROUP BY 1, 2) SELECT repo, max_by(commit_id, row(seq, commit_id)) AS commit_id FROM best JOIN n USING (repo, commit_id) GROUP BY repo")
 def _merge_base(spark: SparkSession, d: str) -> DataFrame:
     return history.merge_bases(_tips(spark, d), F.col("id") == F.col("mid"), F.col("id") == F.col("tip"))
 
@@ -328,9 +328,10 @@ def _simplify(spark: SparkSession, d: str) -> DataFrame:
     return history.simplify(_viewed(spark, d))
 
 
-@_add("squash_selected")
+@_add("squash_selected", f"WITH RECURSIVE {SQL_DAG}, r AS (SELECT repo, commit_id, commit_id AS image FROM dag WHERE event_type = 'purchase' UNION SELECT c.repo, c.commit_id, r.image FROM r JOIN edge e ON e.repo = r.repo AND e.parent = r.commit_id AND e.ix = 0 JOIN dag c ON c.repo = e.repo AND c.commit_id = e.commit_id WHERE c.event_type <> 'purchase') SELECT DISTINCT c.repo, c.commit_id, r.image AS parent FROM dag c JOIN edge e ON e.repo = c.repo AND e.commit_id = c.commit_id JOIN r ON r.repo = e.repo AND r.commit_id = e.parent WHERE c.event_type = 'purchase'")
 def _squash(spark: SparkSession, d: str) -> DataFrame:
-    return history.squash(lifts.event_dag(spark, d), F.col("event_type") == "purchase")
+    kept = history.squash(lifts.event_dag(spark, d), F.col("event_type") == "purchase")
+    return kept.select("repo", "commit_id", F.explode("view_parents").alias("parent"))
 
 
 @_add("prune_trivial_merge", f"WITH {SQL_DAG} SELECT c.repo, c.commit_id, p.commit_id AS mapped FROM dag c JOIN dag p ON p.repo = c.repo AND p.id = c.a WHERE c.b IS NOT NULL AND c.a <> c.b AND c.event_type = p.event_type")
