@@ -48,7 +48,7 @@ def condition(f: Node, path: Column | None = None) -> Column:
         return F.lit(False)
     if k == "glob":
         head = literal_prefix(a[0])
-        match = path.rlike(glob_regex(a[0]).replace("$", r"\z"))
+        match = path.rlike(glob_regex(a[0])[:-1] + r"\z")
         return path.startswith(head) & match if head else match
     if k == "file":
         return (path == a[0]) | path.startswith(a[0] + "/")
