@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, simhash_ring
+from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, shingle_links
 from grovekit.llm.common import read_table, shared_folder, short_batches
 
 # SQL can express neither the learned filter nor the encoding; the stages are tested against brute force.
@@ -27,13 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id.
+    """One document of each group of near copies, that of the smallest id: five-word shingles, similarity 0.8 or more.
 
     A row without an id is known by its text's hash, made negative. Rows that repeat an id count as one document.
     """
     short_batches(spark)
     keyed = docs.withColumn("stage_row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)))
-    found = simhash_ring.near_duplicates(keyed.select(F.col("stage_row_key").alias("doc_id"), "text"))
+    found = shingle_links.near_copies(keyed.select(F.col("stage_row_key").alias("doc_id"), "text"))
     stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stage_row_key")).distinct()
     return keyed.join(stays, "stage_row_key", "left_semi").dropDuplicates(["stage_row_key"]).select(*docs.columns)
 
