@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, shingle_links
@@ -29,13 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id: five-word shingles, similarity 0.8 or more.
 
-    A row without an id is known by its text's hash, made negative. Rows that repeat an id count as one document.
+    A row without an id is known by its text's hash, made negative. Rows that share an id but not a group stand apart:
+    of each group the row of the smallest id, then text hash, then other columns stays.
     """
     short_batches(spark)
-    keyed = docs.withColumn("stage_row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)))
+    keyed = docs.withColumn("stage_row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61))).withColumn("stage_text_key", shingle_links.text_key())
     found = shingle_links.near_copies(keyed.select(F.col("stage_row_key").alias("doc_id"), "text"))
-    stays = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stage_row_key")).distinct()
-    return keyed.join(stays, "stage_row_key", "left_semi").dropDuplicates(["stage_row_key"]).select(*docs.columns)
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low")).select(F.col("low.doc_id").alias("stage_row_key"), F.col("low.text_key").alias("stage_text_key"))
+    rows = keyed.join(stays, ["stage_row_key", "stage_text_key"], "left_semi")
+    alike = Window.partitionBy("stage_row_key", "stage_text_key").orderBy(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    return rows.withColumn("stage_place", F.row_number().over(alike)).where("stage_place = 1").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, map_columns
@@ -230,10 +230,18 @@ def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found()
 
 
+def text_key() -> Column:
+    """A hash of ``text``; a null text counts as an empty one."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_key, component_id): the smallest doc_id reachable over pairs of similarity 0.8 or more."""
-    texts = docs.select("doc_id", "text")
-    marked = checkpointed(map_columns(texts, ["doc_id", "text"], "set_key string, n int, weight double, parity binary, bands array<long>, prefix binary", _marker(_counts(texts))))
+    """(doc_id, text_key, component, component_id): the smallest doc_id reachable over pairs of similarity 0.8 or more.
+
+    ``text_key`` tells rows apart that share an id. ``component`` numbers the components, which ids don't where they repeat.
+    """
+    texts = docs.select("doc_id", text_key().alias("text_key"), "text")
+    marked = checkpointed(map_columns(texts, ["doc_id", "text_key", "text"], "set_key string, n int, weight double, parity binary, bands array<long>, prefix binary", _marker(_counts(texts))))
     alike = marked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "weight", "parity", "bands", "prefix")])
     classes = checkpointed(alike.withColumn("node", F.monotonically_increasing_id()))
 
@@ -249,4 +257,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     joined = classes.select("node", "set_key", "rep").join(components(first.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return marked.select("doc_id", "set_key").join(joined.join(smallest, "component").select("set_key", "component_id"), "set_key").select("doc_id", "set_key", "component_id")
+    named = joined.join(smallest, "component").select("set_key", "component", "component_id")
+    return marked.select("doc_id", "text_key", "set_key").join(named, "set_key").select("doc_id", "text_key", "component", "component_id")

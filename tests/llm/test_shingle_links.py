@@ -86,3 +86,11 @@ def test_stage_drops_edited_copies(spark):
     kept = sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect())
     assert kept == list(range(0, 40, 2))
     assert pipeline.near_dedup(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    one, two = "a text about one thing and no other", "quite another text on some other matter"
+    rows = [(1, one, "z"), (1, two, "s"), (2, two, "s"), (1, one, "s"), (3, "the third text of this small table", "s")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in order], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted((r.doc_id, r.text, r.source) for r in pipeline.near_dedup(spark, docs, "").collect()) == sorted([(1, one, "s"), (1, two, "s"), rows[4]])
