@@ -29,10 +29,38 @@ def _split(f: Node) -> tuple[dict, list[Node]]:
     return options, list(f.args) if f.kind == "chain" else [f]
 
 
+def _nodes(f: Node) -> Iterable[Node]:
+    """A filter and all filters within it."""
+
+    def inside(x: object) -> Iterable[Node]:
+        if isinstance(x, Node):
+            yield from _nodes(x)
+        elif isinstance(x, tuple | list):
+            for y in x:
+                yield from inside(y)
+
+    yield f
+    yield from inside(f.args)
+
+
+def _view(steps: tuple, commits: DataFrame, files: DataFrame, env: trees.Env | None) -> DataFrame:
+    """(tree, view) of the commits' trees through the chain of ``steps``."""
+    for x in steps:
+        if any(y.kind == "pin" for y in _nodes(x)):
+            raise FilterError(":pin has no meaning within :squash in this package")
+    used = files.join(commits.select(F.col("tree").alias("tree_id")).distinct(), "tree_id", "left_semi")
+    view = trees.root_ids(trees.apply(Node("chain", steps) if steps else NOP, used, env))
+    return view.select(F.col("tree_id").alias("tree"), F.col("oid").alias("view"))
+
+
 def apply(f: Node | str, commits: DataFrame, files: DataFrame, env: trees.Env | None = None) -> DataFrame:
     """The history seen through a filter: commits as before, with ``view`` (the tree's id, "" if empty), mapped, kept and view_parents."""
     options, steps = _split(rewrite.optimize(parse(f) if isinstance(f, str) else f))
     known = options.get("history", "").split(",")
+    if "no-splice" in known:
+        raise FilterError("parents of per-commit filters are not spliced in this package, so no-splice has no meaning")
+    own: tuple = ()
+    place = 0
     squashed: Column | bool = False
     prune = False
     on_tree: list[Node] = []
@@ -43,20 +71,32 @@ def apply(f: Node | str, commits: DataFrame, files: DataFrame, env: trees.Env |
         elif step.kind == "message":
             out = history.rewrite_message(out, step.args[0], step.args[1])
         elif step.kind == "squash":
-            squashed = F.col("commit_id").isin([sha for sha, _ in step.args[0]]) if step.args else True
+            own, place = (step.args[0], len(on_tree)) if step.args else ((), 0)
+            squashed = F.col("commit_id").isin([sha for sha, _ in own]) if step.args else True
         elif step.kind == "prune":
             prune = True
         elif step.kind == "unsign":
             options["gpgsig"] = "remove"
         elif step.kind in ("fold", "rev", "hook", "downstack", "unapply", "embed"):
             raise FilterError(f":{step.kind} has a function of its own in this package")
+        elif any(x.kind == "pin" for x in _nodes(step)):
+            raise FilterError(":pin needs the first parent's version of a path, which views.apply does not follow; see history.pin_linear")
         else:
             on_tree.append(step)
     if options.get("gpgsig") == "remove" and "extra_headers" in out.columns:
         out = out.withColumn("extra_headers", F.filter("extra_headers", lambda h: h["k"] != "gpgsig"))
-    used = files.join(commits.select(F.col("tree").alias("tree_id")).distinct(), "tree_id", "left_semi")
-    view = trees.root_ids(trees.apply(Node("chain", tuple(on_tree)) if on_tree else NOP, used, env))
-    out = out.join(view.select(F.col("tree_id").alias("tree"), F.col("oid").alias("view")), "tree", "left").withColumn("view", F.coalesce("view", F.lit("")))
+    if own:
+        # Each listed commit has a filter of its own, at the place of the squash in the chain.
+        views = None
+        for spec in dict.fromkeys(g for _, g in own):
+            mine = out.where(F.col("commit_id").isin([sha for sha, g in own if g == spec])).select("repo", "commit_id", "tree")
+            seen = _view((*on_tree[:place], spec, *on_tree[place:]), mine, files, env)
+            seen = mine.join(seen, "tree").select("repo", "commit_id", "view")
+            views = seen if views is None else views.unionByName(seen)
+        out = out.join(views, ["repo", "commit_id"], "left")
+    else:
+        out = out.join(_view(tuple(on_tree), commits, files, env), "tree", "left")
+    out = out.withColumn("view", F.coalesce("view", F.lit("")))
     if squashed is True:
         return out.withColumns({"mapped": F.col("commit_id"), "kept": F.lit(True), "view_parents": F.array().cast("array<string>")})
     if squashed is not False:
