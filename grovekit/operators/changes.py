@@ -43,17 +43,17 @@ def dependencies(touched: DataFrame, order: str) -> DataFrame:
     return touched.withColumn("needs", F.lag("id").over(w)).where(F.col("needs").isNotNull()).select("scope", "id", "needs").distinct()
 
 
-def threads(comments: DataFrame, most: int = 50) -> DataFrame:
-    """Comments (scope, id, reply_to, ts) with their thread's ``root`` and ``depth``; a join a level."""
+def threads(comments: DataFrame) -> DataFrame:
+    """Comments (scope, id, reply_to, ts) with their thread's ``root`` and ``depth``; a join a level, until none is left."""
     level = comments.where(F.col("reply_to").isNull()).select("scope", "id", "ts", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most + 1):
+    out, depth = level, 0
+    while True:
+        depth += 1
         up = level.select("scope", F.col("id").alias("reply_to"), "root")
         level = cut(comments.where(F.col("reply_to").isNotNull()).join(up, ["scope", "reply_to"]).select("scope", "id", "ts", "root", F.lit(depth).alias("depth")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
