@@ -75,6 +75,7 @@ _view("scope", ":<:/en>[::src1/]", "SELECT path, oid FROM d WHERE starts_with(pa
 _view("invert_filter", ":/en:prefix=v:invert[:/en:prefix=v]", "SELECT path, oid FROM d WHERE starts_with(path, 'en/')")
 _view("insert_file", ":[:/en,:$meta/info.txt=\"hello\"]", "SELECT substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/') UNION ALL SELECT 'meta/info.txt', sha1('blob 5' || chr(0) || 'hello')")
 _view("regex_replace", ":/en:replace(\"the\":\"THE\",\"([aeiou])n\":\"<$1>\")", "SELECT substr(path, 4) AS path, sha1('blob ' || strlen(t) || chr(0) || t) AS oid FROM (SELECT path, regexp_replace(regexp_replace(content, 'the', 'THE', 'g'), '([aeiou])n', '<\\1>', 'g') AS t FROM d WHERE starts_with(path, 'en/'))")
+_view("regex_replace_groups", ":/de:replace(\"(?P<vow_el>[aeiou])([nr])\":\"${vow_el}i$2x|$$5|${2}7|$nope\")", "SELECT substr(path, 4) AS path, sha1('blob ' || strlen(t) || chr(0) || t) AS oid FROM (SELECT path, regexp_replace(content, '([aeiou])([nr])', '\\1i|$5|\\27|', 'g') AS t FROM d WHERE starts_with(path, 'de/'))")
 _view("paths_provenance", ":PATHS:/en", "SELECT substr(path, 4) AS path, sha1('blob ' || strlen(path) || chr(0) || path) AS oid FROM d WHERE starts_with(path, 'en/')")
 _view("invert_paths", ":/en:PATHS:prefix=m:INVERT", "SELECT substr(path, 4) AS path, sha1('blob ' || (strlen(path) - 1) || chr(0) || 'm/' || substr(path, 4)) AS oid FROM d WHERE starts_with(path, 'en/')")
 _view("object_ref", ":&en/src1/doc_1.txt", "SELECT path, sha1('blob 40' || chr(0) || oid) AS oid FROM d WHERE path = 'en/src1/doc_1.txt' UNION ALL SELECT path, oid FROM d WHERE NOT EXISTS (SELECT 1 FROM d WHERE path = 'en/src1/doc_1.txt')")
@@ -148,7 +149,7 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
 @_add("populate", f"WITH {SQL_DOCS} SELECT path, oid FROM d WHERE starts_with(path, 'en/')")
 def _populate(spark: SparkSession, d: str) -> DataFrame:
     files = lifts.doc_files(spark, d)
-    return setops.populate(trees.apply(":PATHS:/en", files), trees.apply(":/en", files)).select("path", "oid")
+    return trees.repopulated(":/en", files, trees.apply(":/en", files)).select("path", "oid")
 
 
 @_add("three_way_merge_paths", _ab + ", o AS (SELECT path, CAST(p_size AS VARCHAR) AS content FROM p), j AS (SELECT path, o.content AS o, a.content AS a, b.content AS b FROM o LEFT JOIN a USING (path) LEFT JOIN b USING (path)) SELECT path, content, conflict FROM (SELECT path, CASE WHEN a IS NOT DISTINCT FROM b OR b IS NOT DISTINCT FROM o THEN a WHEN a IS NOT DISTINCT FROM o THEN b ELSE a END AS content, NOT (a IS NOT DISTINCT FROM b OR b IS NOT DISTINCT FROM o OR a IS NOT DISTINCT FROM o) AS conflict FROM j) WHERE content IS NOT NULL OR conflict")
@@ -158,6 +159,39 @@ def _merge(spark: SparkSession, d: str) -> DataFrame:
     return setops.merge(base, a, b).select("path", F.col("oid").alias("content"), "conflict")
 
 
+def _shapes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two trees in which parts of some keys are a file on one side and a directory of two files on the other."""
+    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("p/"), "p_partkey").alias("path"), F.col("p_size").cast("string").alias("content"))
+
+    def tree(rows: DataFrame, as_dir: F.Column) -> DataFrame:
+        names = F.when(as_dir, F.array(F.concat("path", F.lit("/a")), F.concat("path", F.lit("/b")))).otherwise(F.array("path"))
+        out = rows.select(F.lit("t").alias("tree_id"), F.explode(names).alias("path"), F.lit(hashes.BLOB).alias("mode"), "content")
+        return out.withColumn("oid", hashes.blob_id(F.col("content")))
+
+    return tree(p.where("k % 7 <> 0"), F.col("k") % 2 == 0), tree(p.where("k % 5 <> 0"), F.col("k") % 3 == 0)
+
+
+_AB_SHAPES = "WITH a AS (SELECT p_partkey AS k, 'p/' || p_partkey AS path, p_partkey % 2 = 0 AS dir FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey AS k, 'p/' || p_partkey AS path, p_partkey % 3 = 0 AS dir FROM part WHERE p_partkey % 5 <> 0), j AS (SELECT coalesce(a.path, b.path) AS path, a.dir AS a, b.dir AS b FROM a FULL JOIN b USING (k))"
+
+
+@_add("diff_file_dir", _AB_SHAPES + " SELECT unnest(CASE WHEN coalesce(a, b) AND coalesce(b, a) THEN [path || '/a', path || '/b'] ELSE [path] END) AS path, CASE WHEN a IS NULL THEN 1 WHEN b IS NULL THEN -1 WHEN a THEN 1 ELSE -1 END AS change FROM j WHERE a IS DISTINCT FROM b")
+def _diff_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return setops.diff(*_shapes(spark, d)).select("path", "change")
+
+
+@_add("merge_file_dir", _AB_SHAPES + " SELECT unnest(CASE WHEN a AND b THEN [path || '/a', path || '/b'] WHEN a IS NULL OR b IS NULL THEN (CASE WHEN coalesce(a, b) THEN [path || '/a', path || '/b'] ELSE [path] END) WHEN a OR b THEN [path, path || '/a', path || '/b'] ELSE [path] END) AS path, a IS NOT NULL AND b IS NOT NULL AND a <> b AS conflict FROM j")
+def _merge_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides add everything: a file against a directory is a conflict."""
+    a, b = _shapes(spark, d)
+    return setops.merge(a.limit(0), a, b).select("path", "conflict")
+
+
+@_add("merge_favor", _ab + " SELECT path, coalesce(b.content, a.content) AS content FROM a FULL JOIN b USING (path)")
+def _merge_favor(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (x.select("tree_id", "path", F.col("content").alias("oid")) for x in _halves(spark, d))
+    return setops.merge(a.limit(0), a, b, favor="theirs").select("path", F.col("oid").alias("content"))
+
+
 # Listings and the query API.
 
 
@@ -234,11 +268,18 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     return history.history(lifts.order_commits(spark, d), ["day", "n"], 3, 1).select("repo", "commit_id", F.col("place").cast("bigint").alias("place"))
 
 
-@_add("pin_first_parent", "SELECT l_suppkey AS repo, l_partkey AS path, l_orderkey AS n, l_linenumber AS line, CASE WHEN l_partkey % 2 = 0 THEN first_value(l_shipdate) OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_shipdate ROWS UNBOUNDED PRECEDING) ELSE l_shipdate END AS oid FROM lineitem")
+_PIN = "WITH RECURSIVE o AS (SELECT o_custkey AS repo, o_orderkey AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), raw AS (SELECT repo, pos, l_returnflag || l_linestatus AS path, max(l_partkey) AS oid, pos % 3 <> 0 AND l_returnflag || l_linestatus <> 'NO' AS pinned FROM o JOIN lineitem ON l_orderkey = n GROUP BY ALL), v AS (SELECT repo, pos, path, oid FROM raw WHERE NOT pinned OR pos = 0 UNION ALL SELECT v.repo, v.pos + 1, v.path, v.oid FROM v JOIN raw r ON r.repo = v.repo AND r.path = v.path AND r.pos = v.pos + 1 AND r.pinned)"
+
+
+@_add("pin_first_parent", _PIN + " SELECT CAST(repo AS VARCHAR) AS repo, repo || '-' || pos AS commit_id, path, oid FROM v")
 def _pin(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("n"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("oid"))
-    w = Window.partitionBy("repo", "path").orderBy("n", "line", "oid").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("oid", F.when(F.col("path") % 2 == 0, F.first("oid").over(w)).otherwise(F.col("oid")))
+    """Customers' orders as lines of commits that show states of lines; two of three commits pin some of them."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read_table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("repo"), F.col("o_orderkey").alias("n"), (F.row_number().over(w) - 1).alias("pos"))
+    name = lambda pos: F.concat("repo", F.lit("-"), pos)
+    commits = o.select("repo", name(F.col("pos")).alias("commit_id"), "n", "pos", F.when(F.col("pos") > 0, F.array(name(F.col("pos") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    raw = commits.join(read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("n"), F.concat("l_returnflag", "l_linestatus").alias("path"), "l_partkey"), "n").groupBy("repo", "commit_id", "pos", "path").agg(F.max("l_partkey").alias("oid"))
+    return history.pin(raw.select("repo", "commit_id", "path", "oid"), raw.where("pos % 3 <> 0 and path <> 'NO'").select("repo", "commit_id", "path"), commits)
 
 
 @_add("fold_accumulate", "WITH c AS (SELECT o_custkey AS repo, o_orderkey AS pos, o_orderpriority AS path FROM orders), s AS (SELECT repo, path, min(pos) AS since FROM c GROUP BY 1, 2), g AS (SELECT c.repo, c.pos, s.path FROM c JOIN s ON c.repo = s.repo AND c.pos >= s.since) SELECT g.repo, g.pos, g.path, max(e.pos) AS oid FROM g JOIN c e ON e.repo = g.repo AND e.path = g.path AND e.pos <= g.pos GROUP BY 1, 2, 3")
@@ -247,6 +288,13 @@ def _fold(spark: SparkSession, d: str) -> DataFrame:
     return history.accumulate_linear(c.withColumn("oid", F.col("pos")), c).select("repo", "pos", "path", "oid")
 
 
+def _roles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as histories of trees of one file, named by the role."""
+    c = lifts.conv_commits(spark, d).withColumn("tree", F.col("commit_id"))
+    name = F.concat("author.name", F.lit(".txt"))
+    return c, c.select(F.col("tree").alias("tree_id"), name.alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("message")).alias("oid"), F.col("message").alias("content"))
+
+
 @_add("author_rewrite", "SELECT CAST(conv_id AS VARCHAR) AS repo, conv_id || '-' || turn AS commit_id, 'New' AS name, 'new@example.com' AS email, turn AS ts FROM conversations")
 def _author(spark: SparkSession, d: str) -> DataFrame:
     return history.rewrite_author(lifts.conv_commits(spark, d), "New", "new@example.com").select("repo", "commit_id", "author.name", "author.email", "author.ts")
@@ -257,6 +305,13 @@ def _message(spark: SparkSession, d: str) -> DataFrame:
     return history.rewrite_message(lifts.conv_commits(spark, d), "at {@} of {#}").select("commit_id", "message")
 
 
+@_add("message_of_view", "SELECT conv_id || '-' || turn AS commit_id, CASE WHEN role = 'user' THEN 'x ' || text || ' ' || sha1('blob ' || strlen(text) || chr(0) || text) ELSE 'x  ' || repeat('0', 40) END AS message FROM conversations")
+def _message_view(spark: SparkSession, d: str) -> DataFrame:
+    """The template's keys show the tree that the filters before it leave."""
+    c, files = _roles(spark, d)
+    return views.apply(':[::user.txt]:prefix=said:"x {/said/user.txt} {#said/user.txt}"', c, files).select("commit_id", "message")
+
+
 @_add("commit_summary", "SELECT conv_id || '-' || turn AS commit_id, split_part(text, chr(10), 1) AS summary, strftime(make_timestamp(turn * 1000000), '%Y-%m-%d %H:%M:%S') AS date FROM conversations")
 def _summary(spark: SparkSession, d: str) -> DataFrame:
     return lifts.conv_commits(spark, d).select("commit_id", text.summary(F.col("message")).alias("summary"), text.strftime(F.col("author.ts"), "%Y-%m-%d %H:%M:%S").alias("date"))
@@ -353,9 +408,7 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
 @_add("filter_history")
 def _filter_history(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as histories of trees, one file a role, seen through a filter and simplified."""
-    c = lifts.conv_commits(spark, d).withColumn("tree", F.col("commit_id"))
-    name = F.concat("author.name", F.lit(".txt"))
-    files = c.select(F.col("tree").alias("tree_id"), name.alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.col("message")).alias("oid"), F.col("message").alias("content"))
+    c, files = _roles(spark, d)
     return views.apply(":[::user.txt]:prefix=said", c, files).select("repo", "commit_id", "mapped", "kept", "view")
 
 

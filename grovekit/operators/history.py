@@ -7,12 +7,16 @@ enter such a group. A commit's view is simplified by the rules of ``_simplified`
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovekit.functions import regexes
+from grovekit.sources.sharing import cut
+
 EMPTY_TREE = ""
 
 
@@ -252,10 +256,27 @@ def first_match(commits: DataFrame, rules: list[tuple[str, str, str]]) -> DataFr
     return out.withColumn("chosen", flag).select(*commits.columns, "chosen")
 
 
-def pin_linear(entries: DataFrame, order: list[str], pinned: Column) -> DataFrame:
-    """Entries (repo, path, oid, <order>) of a linear history: a pinned path keeps the version of its first commit."""
-    w = Window.partitionBy("repo", "path").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("oid", F.when(pinned, F.first("oid").over(w)).otherwise(F.col("oid")))
+def pin(entries: DataFrame, pinned: DataFrame, commits: DataFrame) -> DataFrame:
+    """Entries (repo, commit_id, path, ...) in which a pinned (repo, commit_id, path) has its filtered first parent's version.
+
+    Where the first parent shows no such path the entry is left out; a commit without a parent in ``commits``
+    (repo, commit_id, parents) pins nothing. What a run of pinned commits shows is the entry before it, which
+    is found by doubling jumps along first parents: a join for each power of two of the longest run.
+    """
+    key = ["repo", "commit_id", "path"]
+    ids = commits.select("repo", F.col("commit_id").alias("at"))
+    firsts = commits.select("repo", "commit_id", F.get("parents", F.lit(0)).alias("at")).where(F.col("at").isNotNull()).join(ids, ["repo", "at"])
+    held = cut(pinned.select(*key).distinct().join(firsts, ["repo", "commit_id"]))
+    while True:
+        onward = held.select("repo", F.col("commit_id").alias("at"), "path", F.col("at").alias("next"))
+        held = cut(held.join(onward, ["repo", "at", "path"], "left").select(*key, F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("moved")))
+        going = not held.where("moved").isEmpty()
+        held = held.drop("moved")
+        if not going:
+            break
+    free = entries.join(held.select(*key), key, "left_anti")
+    before = entries.withColumnRenamed("commit_id", "at").join(held, ["repo", "at", "path"]).select(*entries.columns)
+    return free.unionByName(before)
 
 
 def accumulate_linear(entries: DataFrame, commits: DataFrame) -> DataFrame:
@@ -313,20 +334,31 @@ def rewrite_author(commits: DataFrame, name: str, email: str, column: str = "aut
     return commits.withColumn(column, F.col(column).withField("name", F.lit(name)).withField("email", F.lit(email)))
 
 
-def rewrite_message(commits: DataFrame, template: str, pattern: str = r"(?s)^.*$") -> DataFrame:
+def rewrite_message(commits: DataFrame, template: str, pattern: str = r"(?s)^.*$", tree: str = "tree", keys: dict[str, Column] | None = None) -> DataFrame:
     """Every match of ``pattern`` replaced by the template.
 
-    ``{name}`` is a named group of the match, ``{#}`` the tree's id and ``{@}`` the commit's; other braces stay.
+    ``{name}`` is a named group of the match, ``{#}`` the id in the column ``tree``, ``{@}`` the commit's, and what
+    ``keys`` has is that column; other braces stay.
     """
-    import re
-
-    groups = set(re.findall(r"\(\?P?<([A-Za-z]\w*)>", pattern))
-    java = re.sub(r"\(\?P<", "(?<", pattern)
+    java, groups = regexes.unnamed(pattern)
     if pattern == r"(?s)^.*$":
         java = r"(?s)\A.*\z"
-    text = template.replace("\\", "\\\\").replace("$", "\\$")
-    text = re.sub(r"\{(\w+)\}", lambda m: "${" + m[1] + "}" if m[1] in groups else m[0], text)
-    to = F.lit(text)
-    for mark, column in (("{#}", "tree"), ("{@}", "commit_id")):
-        to = F.replace(to, F.lit(mark), F.col(column))
-    return commits.withColumn("message", F.regexp_replace(F.col("message"), F.lit(java), to))
+    columns = {"#": F.col(tree), "@": F.col("commit_id"), **(keys or {})}
+    pieces, at = [], 0
+    for m in re.finditer(r"\{([^{}]*)\}", template):
+        name = m[1]
+        named = groups.get(name) if not name.isdigit() else None
+        if named is None and name not in columns:
+            continue
+        pieces.append(F.lit(regexes.literal(template[at : m.start()], True)))
+        # A group's number is followed by nothing, or by text whose first digit is kept apart.
+        pieces.append(F.lit(f"${named}") if named is not None else F.concat(F.lit(""), _escaped(columns[name])))
+        at = m.end()
+    pieces.append(F.lit(regexes.literal(template[at:], True)))
+    return commits.withColumn("message", F.regexp_replace(F.col("message"), F.lit(java), F.concat(*pieces)))
+
+
+def _escaped(text: Column) -> Column:
+    """Text that stands for itself in a replacement, also right after a group's number."""
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.when(plain.rlike("^[0-9]"), F.concat(F.lit("\\"), plain)).otherwise(plain)

@@ -49,25 +49,47 @@ def overlay(a: DataFrame, b: DataFrame, same_source: bool = False) -> DataFrame:
     return a.unionByName(subtract(b, a, same_source))
 
 
+def _under_files(files: DataFrame, entries: DataFrame, also: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys of ``files`` that are directories of ``entries``, and of the entries below them; both agree in ``also``.
+
+    Directories are made distinct before they meet files, so a wide directory is a row and not its entries.
+    """
+    above = entries.select(*KEY, *also, F.explode(ancestors("path")).alias("dir"))
+    met = files.select("tree_id", F.col("path").alias("dir"), *also).join(above.select("tree_id", "dir", *also).distinct(), ["tree_id", "dir", *also], "left_semi")
+    below = above.join(met, ["tree_id", "dir", *also], "left_semi").select(*KEY, *also).distinct()
+    return met.select("tree_id", F.col("dir").alias("path"), *also), below
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(tree_id, path, change): 1 for added, -1 for removed, 0 for changed content.
 
-    A file that becomes a directory is only reported as removed, and the other way round only as added.
+    A file that becomes a directory is only reported as removed; a directory that becomes a file only that file, as added.
     """
     both = a.select(*KEY, F.col("oid").alias("a")).join(b.select(*KEY, F.col("oid").alias("b")), KEY, "full_outer")
     changed = both.where(~F.col("a").eqNullSafe(F.col("b"))).select(*KEY, F.when(F.col("a").isNull(), 1).when(F.col("b").isNull(), -1).otherwise(0).alias("change"))
-    return changed
+    # An entry below a file of the other side is part of that file's change.
+    moved = changed.where("change <> 0")
+    _, gone = _under_files(moved.withColumn("change", -F.col("change")), moved, ["change"])
+    return changed.join(gone, [*KEY, "change"], "left_anti").select(*KEY, "change")
+
 
+def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, favor: str | None = None) -> DataFrame:
+    """Three-way merge by file: (tree_id, path, oid, conflict); a side that didn't change gives way to the other.
 
-def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Three-way merge by file: (tree_id, path, oid, conflict); a side that didn't change gives way to the other."""
+    Where both changed a path, or one has a file where the other has a directory, there is a conflict; with
+    ``favor`` (``ours`` or ``theirs``) a changed path is that side's. In a conflict ``oid`` is ours.
+    """
     x = base.select(*KEY, F.col("oid").alias("o"))
     for side, name in ((ours, "a"), (theirs, "b")):
         x = x.join(side.select(*KEY, F.col("oid").alias(name)), KEY, "full_outer")
     o, a, b = F.col("o"), F.col("a"), F.col("b")
-    merged = F.when(a.eqNullSafe(b) | b.eqNullSafe(o), a).when(a.eqNullSafe(o), b).otherwise(a)
-    conflict = ~(a.eqNullSafe(b) | b.eqNullSafe(o) | a.eqNullSafe(o))
-    return x.select(*KEY, merged.alias("oid"), conflict.alias("conflict")).where(F.col("oid").isNotNull() | F.col("conflict"))
+    clash = ~(a.eqNullSafe(b) | b.eqNullSafe(o) | a.eqNullSafe(o))
+    merged = F.when(a.eqNullSafe(b) | b.eqNullSafe(o), a).when(a.eqNullSafe(o), b).otherwise(b if favor == "theirs" else a)
+    rows = x.select(*KEY, merged.alias("oid"), (clash if favor is None else F.lit(False)).alias("conflict")).where(F.col("oid").isNotNull() | F.col("conflict"))
+    there = rows.where(F.col("oid").isNotNull())
+    over, below = _under_files(there, there, [])
+    crossed = over.unionByName(below).distinct().withColumn("crossed", F.lit(True))
+    return rows.join(crossed, KEY, "left").select(*KEY, "oid", (F.col("conflict") | F.coalesce("crossed", F.lit(False))).alias("conflict"))
 
 
 def populate(paths: DataFrame, content: DataFrame) -> DataFrame:

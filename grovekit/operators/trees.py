@@ -6,7 +6,6 @@ scan; renames are projections; compositions whose branches read and write apart
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovekit.functions import hashes
+from grovekit.functions import hashes, regexes
 from grovekit.functions.globs import glob_regex, literal_prefix
 from grovekit.plans import nodes as n
 from grovekit.plans import rewrite
@@ -174,19 +173,11 @@ def _insert(f: Node, x: DataFrame, env: Env) -> DataFrame:
     return _made(trees.withColumn("one", F.lit(1)).join(rows, "one").select(*COLUMNS), x)
 
 
-def java_regex(pattern: str) -> str:
-    """A pattern of the filter language in the engine's dialect."""
-    return re.sub(r"\(\?P<", "(?<", pattern)
-
-
-def java_replacement(text: str) -> str:
-    return re.sub(r"\$([A-Za-z_]\w*)", r"${\1}", text.replace("\\", "\\\\"))
-
-
 def _replace(f: Node, x: DataFrame, env: Env) -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     for pattern, to in f.args:
-        text = F.regexp_replace(text, F.lit(java_regex(pattern)), F.lit(java_replacement(to)))
+        java, groups = regexes.unnamed(pattern)
+        text = F.regexp_replace(text, F.lit(java), F.lit(regexes.replacement(to, groups)))
     kept = x.where(F.col("mode") != hashes.GITLINK)
     return kept.withColumn("content", text).withColumn("oid", hashes.blob_id(F.col("content")))
 
@@ -228,15 +219,16 @@ def _objectref(f: Node, x: DataFrame, env: Env) -> DataFrame:
 
 
 def _objectderef(f: Node, x: DataFrame, env: Env) -> DataFrame:
+    """What the object is whose id the file's first line says; an id of no object fails the job."""
     path = f.args[0]
     wanted = x.where(F.col("path") == path).withColumn("want", F.trim(F.substring_index("content", "\n", 1)))
     is_id = F.col("want").rlike(r"^[0-9a-f]{40}\z")
     empty = wanted.where(~is_id).select("tree_id", "path", F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(F.lit("")).alias("oid"), F.lit("").alias("content"))
-    if env.objects is None:
-        return _made(empty, x)
-    o = env.objects.select(F.col("oid").alias("want"), F.col("path").alias("below"), "mode", F.col("leaf_oid").alias("oid"), "content")
-    found = wanted.where(is_id).select("tree_id", "path", "want").join(o, "want")
-    at = F.when(F.col("below") == "", F.col("path")).otherwise(F.concat_ws("/", "path", "below"))
+    objects = env.objects if env.objects is not None else x.sparkSession.createDataFrame([], "oid string, path string, mode int, leaf_oid string, content string")
+    o = objects.select(F.col("oid").alias("want"), F.col("path").alias("below"), "mode", F.col("leaf_oid").alias("oid"), "content")
+    found = wanted.where(is_id).select("tree_id", "path", "want").join(o, "want", "left")
+    below = F.when(F.col("below").isNull(), F.raise_error(F.concat(F.lit("no object "), "want"))).otherwise(F.col("below"))
+    at = F.when(below == "", F.col("path")).otherwise(F.concat_ws("/", "path", below))
     return _made(empty.unionByName(found.select("tree_id", at.alias("path"), "mode", "oid", "content")), x)
 
 
@@ -349,3 +341,15 @@ def unapply(f: Node | str, view: DataFrame, parent: DataFrame, env: Env | None =
     back = rewrite.invert(f)
     hidden = setops.subtract(parent.select(*COLUMNS), apply(back, apply(f, parent, env), env))
     return setops.overlay(apply(back, view, env), hidden)
+
+
+def original_paths(f: Node | str, files: DataFrame, env: Env | None = None) -> DataFrame:
+    """(tree_id, path, original): where each entry of the view comes from; a workspace file says it in its first line."""
+    f = parse(f) if isinstance(f, str) else f
+    view = apply(n.chain(Node("paths"), f), files, env)
+    return view.select("tree_id", "path", F.regexp_replace(F.substring_index("content", "\n", 1), "^#", "").alias("original"))
+
+
+def repopulated(f: Node | str, full: DataFrame, partial: DataFrame, env: Env | None = None) -> DataFrame:
+    """The entries of ``partial``, a view of ``full`` or of a part of it, at the paths they have in ``full``."""
+    return setops.populate(original_paths(f, full, env).withColumnRenamed("original", "content"), partial)
