@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of a cache at which it is emptied.
-CACHE = 400_000
+#: Characters, and 64 more for each entry, that a cache holds before it is emptied.
+CACHE_SIZE = 1 << 25
 
 
 class Automaton:
@@ -21,6 +21,7 @@ class Automaton:
         self.tokens, self.rank = tokens, rank
         self.longest = max(map(len, tokens), default=1)
         self._pairs: dict = {}
+        self._held = 0
         #: By its first four symbols, how long a token may be.
         self._ahead: dict = {}
         for t in tokens:
@@ -45,8 +46,10 @@ class Automaton:
         key = (before, token)
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) >= CACHE:
+            if self._held > CACHE_SIZE:
                 self._pairs.clear()
+                self._held = 0
+            self._held += len(before) + len(token) + 64
             got = self._pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
         return got
 

@@ -24,8 +24,19 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="grovekit-")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="grovekit-")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` is called so, whatever the case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -95,12 +106,12 @@ def forest(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[
     yield out()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of edges (u long, v long): each node that has an edge, as (node, component).
 
     ``component`` is the smallest node of the component. Alternating large-star and small-star steps,
     each a grouped minimum and a join; a round's edges are written to the checkpoint folder. The number
-    of rounds grows with the logarithm of a component's size.
+    of rounds grows with the logarithm of a component's size; edges that have not settled after ``rounds`` are an error.
     """
     edges = checkpointed(edges.select("u", "v").where("u <> v").mapInArrow(forest, "u long, v long").distinct())
 
@@ -116,11 +127,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
-    before = mark(edges)
-    for _ in range(rounds if before[0] else 0):
-        edges = checkpointed(star(star(edges, True), False))
-        now = mark(edges)
-        if now == before:
+    before, now = None, mark(edges)
+    for _ in range(rounds):
+        if not now[0] or now == before:
             break
-        before = now
+        edges = checkpointed(star(star(edges, True), False))
+        before, now = now, mark(edges)
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_automaton import CACHE
+from .bpe_automaton import CACHE_SIZE
 from .common import doc_crc, map_columns
 
 TRAIN_DOCS = 3000
@@ -111,14 +111,15 @@ class Labeller:
         self.model, self.switch = model, switch
         self.at: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.langs)), np.float32)
-        self.used = 0
+        self.used = self.held = 0
 
     def learn(self, words: set[str]) -> None:
         """Score new words; words of marks without a letter get -1."""
         fresh = sorted(w for w in words if w not in self.at)
-        if len(self.at) + len(fresh) > CACHE:
-            self.at, self.used = {}, 0
+        if self.held > CACHE_SIZE:
+            self.at, self.used, self.held = {}, 0, 0
             fresh = sorted(words)
+        self.held += sum(map(len, fresh)) + 64 * len(fresh)
         letters = []
         for w in fresh:
             if w.isalpha() or any(c.isalpha() for c in w):
