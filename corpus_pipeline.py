@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, shingle_links
-from grovekit.llm.common import read_table, shared_folder, short_batches
+from grovekit.llm.common import fresh, read_table, shared_folder, short_batches
 
 # SQL can express neither the learned filter nor the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -21,9 +21,10 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it is fitted to the labels of the training fold."""
     short_batches(spark)
+    score = fresh("stage_score", docs.columns)
     model = mil_quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    kept = mil_quality.scored(docs, model, docs.columns, "stage_score").where(F.col("stage_score") >= mil_quality.THRESHOLD)
-    return kept.select(*docs.columns)
+    kept = mil_quality.scored(docs, model, docs.columns, score).where(F.col(score) >= mil_quality.THRESHOLD)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of each group the row of the smallest id, then text hash, then other columns stays.
     """
     short_batches(spark)
-    keyed = docs.withColumn("stage_row_key", F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61))).withColumn("stage_text_key", shingle_links.text_key())
-    found = shingle_links.near_copies(keyed.select(F.col("stage_row_key").alias("doc_id"), "text"))
-    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low")).select(F.col("low.doc_id").alias("stage_row_key"), F.col("low.text_key").alias("stage_text_key"))
-    rows = keyed.join(stays, ["stage_row_key", "stage_text_key"], "left_semi")
-    alike = Window.partitionBy("stage_row_key", "stage_text_key").orderBy(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-    return rows.withColumn("stage_place", F.row_number().over(alike)).where("stage_place = 1").select(*docs.columns)
+    row_key, text_key, place = (fresh(x, docs.columns) for x in ("stage_row_key", "stage_text_key", "stage_place"))
+    keyed = docs.withColumns({row_key: F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)), text_key: shingle_links.text_key()})
+    found = shingle_links.near_copies(keyed.select(F.col(row_key).alias("doc_id"), "text"))
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low")).select(F.col("low.doc_id").alias(row_key), F.col("low.text_key").alias(text_key))
+    rows = keyed.join(stays, [row_key, text_key], "left_semi")
+    alike = Window.partitionBy(row_key, text_key).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    return rows.withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +50,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: documents left out, kept, or repeated up to three times."""
-    return mixing_tree.mixed(docs)
+    """The sources mixed to their target weights: documents left out, kept, or repeated up to three times; each shard is shuffled."""
+    return mixing_tree.shuffled(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's SentencePiece ids, without its text."""
+    """Each document's SentencePiece ids and their number, without its text; where a column has such a name already, the new one gets an underscore."""
     short_batches(spark)
-    found = sentencepiece_scan.encode(docs, columns=[c for c in docs.columns if c not in ("text", "ids", "n_tokens")])
-    return found.withColumn("n_tokens", F.coalesce(F.expr("array_size(ids)"), F.lit(0)).cast("bigint"))
+    rest = [c for c in docs.columns if c != "text"]
+    ids, n = fresh("ids", rest), fresh("n_tokens", rest)
+    found = sentencepiece_scan.encode(docs, columns=rest, name=ids)
+    return found.withColumn(n, F.coalesce(F.expr(f"array_size(`{ids}`)"), F.lit(0)).cast("bigint"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_automaton import CACHE, Automaton
+from .bpe_automaton import CACHE_SIZE, Automaton
 from .common import checkpointed, map_columns
 
 #: Characters of a chunk.
@@ -187,15 +187,17 @@ class Pieces:
 
 
 class _Memo(dict):
-    """A bounded cache of a function's results."""
+    """A cache of a function's results, bounded by the characters of its keys."""
 
     def __init__(self, f: Callable) -> None:
         super().__init__()
-        self.f = f
+        self.f, self.held = f, 0
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
+        if self.held > CACHE_SIZE:
             self.clear()
+            self.held = 0
+        self.held += len(key) + 64
         got = self[key] = self.f(key)
         return got
 
@@ -292,21 +294,23 @@ def encode_giants(giants: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame
     return parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, columns: list[str] | None = None, decoded: bool = False) -> DataFrame:
-    """``columns`` (doc_id) of each row and ``ids array<int>``, as the library's encode gives them.
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, columns: list[str] | None = None, decoded: bool = False, name: str = "ids") -> DataFrame:
+    """``columns`` (doc_id) of each row and ``ids array<int>``, called ``name``, as the library's encode gives them.
 
     ``decoded`` adds decoded_sha256: the ids are decoded again where they are made, and the text's digest kept.
     """
     path, columns = path or default_model(), columns or ["doc_id"]
     is_giant = F.length("text") > chunk
     added = "ids array<int>" + ", decoded_sha256 string" * decoded
-    small = map_columns(docs.where(~F.coalesce(is_giant, F.lit(False))), [*columns, "text"], added, _make_encode(path, decoded))
-    giants = checkpointed(docs.where(is_giant).select(F.monotonically_increasing_id().alias("encode_row"), *[F.col(f"`{c}`") for c in columns], "text"))
-    if giants.isEmpty():
-        return small
-    ids = checkpointed(encode_giants(giants.select(F.col("encode_row").alias("row"), "text"), path, chunk))
-    made = (decode(ids, path, ["row"], True) if decoded else ids).withColumnRenamed("row", "encode_row")
-    return small.unionByName(giants.drop("text").join(made, "encode_row").drop("encode_row"))
+    # The columns travel as one struct, so none of them meets a name used here.
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("kept"), "text", is_giant.alias("giant"))
+    small = map_columns(kept.where(~F.coalesce("giant", F.lit(False))), ["kept", "text"], added, _make_encode(path, decoded))
+    giants = checkpointed(kept.where("giant").select(F.monotonically_increasing_id().alias("row"), "kept", "text"))
+    if not giants.isEmpty():
+        ids = checkpointed(encode_giants(giants.select("row", "text"), path, chunk))
+        made = decode(ids, path, ["row"], True) if decoded else ids
+        small = small.unionByName(giants.select("row", "kept").join(made, "row").drop("row"))
+    return small.select("kept.*", F.col("ids").alias(name), *(["decoded_sha256"] if decoded else []))
 
 
 def decode(encoded: DataFrame, path: str | None = None, columns: list[str] | None = None, digest: bool = False) -> DataFrame:

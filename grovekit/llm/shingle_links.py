@@ -1,11 +1,13 @@
-"""Near copies by their words: all pairs of texts with a five-word-shingle Jaccard similarity of 0.8 or more.
+"""The near-duplicate operator's wide form: all texts linked at a five-word-shingle Jaccard similarity of 0.8 or more.
 
-A SimHash can't be the join key here. At similarity 0.8 two fingerprints differ in about 15 % of their bits, so
-that a pigeonring chain has six equal bits to offer, whatever the width. Instead:
+A SimHash alone can't be the join key here. At similarity 0.8 two fingerprints differ in about 15 % of their
+bits, so that a pigeonring chain has six equal bits to offer, whatever the width. So the pigeonring of
+``simhash_ring`` finds what is closest, and an exact similarity join finds the rest:
 
 1. Texts become sets of 64-bit shingle hashes. Equal sets form a class, so that copies cost one row.
-2. Min-hash bands give cheap candidates, each compared with one pivot of its band; what is similar forms
-   first components, so that a large group of near copies is not compared pair by pair.
+2. Cheap candidates: classes whose 64-bit SimHashes (of the five-word shingles) the pigeonring links, and
+   classes that share a min-hash band, each compared with one pivot of its fingerprint or band. Checked on
+   the full sets, they form first components, so that a large group of near copies is not compared pair by pair.
 3. The rest is found by a prefix filter, which loses no pair: if two sets have a Jaccard similarity of t or
    more, then in any order of all shingles the first n - ceil(t n) + 1 of each have one in common. The order
    is by a count of the shingles over the whole table in a table of fixed size, the rare ones first; what the
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_ring
 from .common import checkpointed, components, map_columns
 
 WORDS = 5
@@ -40,7 +43,7 @@ COUNT_BITS = 16
 #: Min-hash bands and the values in one: at similarity 0.8, 0.997 of the pairs share a band.
 BANDS = 8
 ROWS = 3
-#: Bits of the bitmap of the classes whose sets are compared, as a power of two (512 KB).
+#: Bits of the bitmap of the texts whose sets are compared, as a power of two (512 KB).
 MARK_BITS = 22
 #: Buckets of the parities, as a power of two (128 bytes a class).
 PARITY_BITS = 10
@@ -90,6 +93,13 @@ def _bands(h: np.ndarray) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
+def _simhash(h: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        counts += simhash_ring._bit_counts(h[at : at + _BLOCK])
+    return simhash_ring._signed(sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(h))))
+
+
 def _key(h: np.ndarray) -> str:
     from xxhash import xxh3_128_hexdigest
 
@@ -120,13 +130,14 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def _marker(counts: np.ndarray) -> Callable:
     def make() -> Callable:
         def work(texts: list) -> dict:
-            out: dict = {k: [] for k in ("set_key", "n", "weight", "parity", "bands", "prefix")}
+            out: dict = {k: [] for k in ("set_key", "n", "weight", "parity", "fp", "bands", "prefix")}
             for h in map(shingles, texts):
                 often = counts[_bucket(h)]
                 out["set_key"].append(_key(h))
                 out["n"].append(len(h))
                 out["weight"].append(float(np.log1p(often).mean()) if len(h) else 0.0)
                 out["parity"].append(_parity(h))
+                out["fp"].append(_simhash(h))
                 out["bands"].append(_bands(h) if len(h) else [])
                 out["prefix"].append(h[np.lexsort((h, often))[: prefix_length(len(h))]].tobytes() if len(h) else b"")
             return out
@@ -149,8 +160,8 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     brief = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv"]
     pairs = checkpointed(pairs.join(brief[0], "u").join(brief[1], "v").select("u", "v", F.expr("n_u + n_v").alias("n"), "parity_u", "parity_v").mapInArrow(_possible, "u long, v long"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = checkpointed(classes.select("node", "set_key").join(nodes, "node", "left_semi"))
-    first = F.conv(F.substring("set_key", 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    asked = checkpointed(classes.select("node", "set_key", "text_key").join(nodes, "node", "left_semi"))
+    first = F.col("text_key").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
     words = asked.select(F.shiftright(first, 6).alias("word"), F.pmod(first, F.lit(64)).cast("int").alias("bit"))
     bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
     for r in words.select("word", F.expr("shiftleft(1L, bit)").alias("set")).groupBy("word").agg(F.bit_or("set").alias("set")).collect():
@@ -158,15 +169,12 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     marks = bits.tobytes()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the texts whose mark is set; what is only marked by chance falls in the join."""
         held = np.frombuffer(marks, np.uint8)
         for batch in batches:
-            keys, raws = [], []
-            for h in map(shingles, batch.column(0).to_pylist()):
-                at = int((key := _key(h))[:8], 16) & ((1 << MARK_BITS) - 1)
-                if held[at >> 3] >> (at & 7) & 1:
-                    keys.append(key)
-                    raws.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(raws, pa.binary())], ["set_key", "hashes"])
+            at = batch.column(0).to_numpy() & ((1 << MARK_BITS) - 1)
+            found = [shingles(t) for t in batch.column(1).filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, found), pa.string()), pa.array([h.tobytes() for h in found], pa.binary())], ["set_key", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +182,7 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
             yes = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(yes)
 
-    whole = docs.select("text").mapInArrow(sets, "set_key string, hashes binary").groupBy("set_key").agg(F.first("hashes").alias("hashes"))
+    whole = docs.select("text_key", "text").mapInArrow(sets, "set_key string, hashes binary").groupBy("set_key").agg(F.first("hashes").alias("hashes"))
     whole = checkpointed(whole.join(asked, "set_key").select("node", "hashes"))
     left = whole.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     right = whole.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
@@ -230,6 +238,26 @@ def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found()
 
 
+def _pairs(u: str, v: str) -> list[Column]:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _ring_pairs(classes: DataFrame) -> DataFrame:
+    """Candidates (u, v) by the pigeonring: classes of one fingerprint with its pivot, and pivots of linked fingerprints."""
+    marked = classes.where("n > 0").select("fp", "weight", "node")
+    pivots = marked.groupBy("fp").agg(F.max(F.struct("weight", "node")).alias("top")).select("fp", F.col("top.node").alias("pivot"))
+    alike = marked.join(pivots, "fp").where("node <> pivot").select(*_pairs("node", "pivot"))
+    ends = [pivots.select(F.col("fp").alias(x), F.col("pivot").alias(f"at_{x}")) for x in "uv"]
+    return alike.unionByName(simhash_ring.links(pivots.select("fp")).join(ends[0], "u").join(ends[1], "v").select(*_pairs("at_u", "at_v")))
+
+
+def _band_pairs(classes: DataFrame) -> DataFrame:
+    """Candidates (u, v): classes that share a band, with its pivot, the most usual member: of edited copies, that of the fewest edits."""
+    banded = classes.select("node", "weight", F.explode("bands").alias("band"))
+    pivots = banded.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("many")).where("many > 1").select("band", F.col("top.node").alias("pivot"))
+    return banded.join(pivots, "band").where("node <> pivot").select(*_pairs("node", "pivot"))
+
+
 def text_key() -> Column:
     """A hash of ``text``; a null text counts as an empty one."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -241,15 +269,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ``text_key`` tells rows apart that share an id. ``component`` numbers the components, which ids don't where they repeat.
     """
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
-    marked = checkpointed(map_columns(texts, ["doc_id", "text_key", "text"], "set_key string, n int, weight double, parity binary, bands array<long>, prefix binary", _marker(_counts(texts))))
-    alike = marked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "weight", "parity", "bands", "prefix")])
+    marked = checkpointed(map_columns(texts, ["doc_id", "text_key", "text"], "set_key string, n int, weight double, parity binary, fp long, bands array<long>, prefix binary", _marker(_counts(texts))))
+    alike = marked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "weight", "parity", "fp", "bands", "prefix")])
     classes = checkpointed(alike.withColumn("node", F.monotonically_increasing_id()))
 
-    banded = classes.select("node", "weight", F.explode("bands").alias("band"))
-    # The pivot is the most usual member: in a group of edited copies, that of the fewest edits.
-    pivots = banded.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("many")).where("many > 1").select("band", F.col("top.node").alias("pivot"))
-    near = banded.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    first = _checked(texts, classes, near)
+    first = _checked(texts, classes, _ring_pairs(classes).unionByName(_band_pairs(classes)).distinct())
 
     named = classes.where("n > 0").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "prefix")
     keyed = named.mapInArrow(_spread, "key long, node long, component long, n int, place int").repartition("key").sortWithinPartitions("key")
