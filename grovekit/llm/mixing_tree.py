@@ -9,9 +9,12 @@ sub-block, then by document, so the words taken miss the target by half a docume
 The blocks drawn (one for each pass and block) are dealt to the output shards by a binary tree: at each
 node the quotas of all sources are split by a multivariate hypergeometric draw, exactly, by inverting
 the distribution at a hashed uniform number. Leaves then own consecutive ranges of a source's permuted
-draws, so their blocks are disjoint, and each shard is ordered by a hash ("shuffled locally").
+draws, so their draws are disjoint. What a document gives is read off the leaves' draws of its block, and
+nothing else: a draw is of the whole block, or, the last of a source, of the hashes up to ``cut``. Each
+shard is ordered by a hash ("shuffled locally").
 
-What is planned on is a table of sources times blocks, whose size does not grow with the documents.
+What is planned on is a table of sources times blocks. Blocks and shards grow with the words of the table,
+by powers of two, from ``BLOCKS`` and ``SHARDS`` on: a block has about ``BLOCK_WORDS`` words, a shard ``SHARD_WORDS``.
 Everything depends on ``seed`` and the rows only; reruns agree.
 
 Cases: a null or empty text has size 0 and is kept with taken 0. Null sources form one source, the last.
@@ -31,6 +34,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCKS = 512
 SHARDS = 16
+BLOCK_WORDS = 1 << 20
+SHARD_WORDS = 1 << 24
 SEED = 20240917
 #: Rows of the plan up to which it is broadcast; a row is under 200 bytes, so this is at most 20 MB.
 BROADCAST_ROWS = 100_000
@@ -47,14 +52,25 @@ def word_count(text: str) -> Column:
     return F.expr(f"cast(coalesce(length(rtrim(' \\t\\n\\u000B\\f\\r', {marks})), 0) as bigint)")
 
 
-def _keyed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """``mix_h`` and ``mix_key`` beside a struct of all columns (``mix_row``), so that no column meets a name used here."""
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
-    return docs.withColumns({"mix_h": h, "mix_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))}).withColumn("mix_block", F.pmod("mix_h", F.lit(blocks)).cast("int"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), h.alias("mix_h"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_key"))
 
 
-def sizes(docs: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, mix_key, mix_block, mix_h), one narrow row for each document."""
-    return _keyed(docs.select("doc_id", "source", "text"), blocks, seed).select("doc_id", "source", word_count("text").alias("size"), "mix_key", "mix_block", "mix_h")
+def _block(blocks: int) -> Column:
+    return F.pmod("mix_h", F.lit(blocks)).cast("int").alias("mix_block")
+
+
+def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, mix_key, mix_h), one narrow row for each document."""
+    keyed = _keyed(docs.select("doc_id", "source", "text"), seed)
+    return keyed.select("mix_row.doc_id", "mix_row.source", word_count("mix_row.text").alias("size"), "mix_key", "mix_h")
+
+
+def _power(n: float, least: int) -> int:
+    """The power of two that is ``n`` or more, and ``least`` at least."""
+    return max(least, 1 << max(0, int(n - 1)).bit_length())
 
 
 def targets(block_words: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -110,11 +126,14 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     return nodes.withColumnRenamed("node", "shard")
 
 
-def plan(narrow: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """What each (mix_key, mix_block) gives: source_size, target, whole passes, ``cut`` and the shards of its draws.
+def plan(narrow: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, blocks: int | None = None, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """What each (mix_key, mix_block) gives: source_size, target and its draws, an array of (pass, shard, cut).
 
-    A document of the block is taken once more than the whole passes if its hash is ``cut`` or less.
+    A draw is of all documents of the block whose hash is ``cut`` or less.
     """
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    blocks, shards = blocks or _power(total / BLOCK_WORDS, BLOCKS), shards or _power(total / SHARD_WORDS, SHARDS)
+    narrow = narrow.withColumn("mix_block", _block(blocks))
     per_block = narrow.groupBy("mix_key", "mix_block").agg(F.sum("size").alias("words"))
     source = targets(per_block.withColumn("n_blocks", F.lit(1)), weights, cap)
     source = source.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
@@ -140,43 +159,50 @@ def plan(narrow: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, blocks: in
     top = F.lit((1 << 63) - 1)
     laid = checkpointed(laid.join(cuts, ["mix_key", "mix_block"], "left").select("mix_key", "mix_block", "source_size", "target", "passes", F.when(F.col("fill") == 2, top).when(F.col("fill") == 1, F.col("cut")).alias("cut")))
     # Draws: a row for each pass over a block; the tree says how many of a source's draws each shard owns.
-    draws = laid.select("mix_key", "mix_block", F.explode(F.expr("filter(sequence(0, passes), p -> p < passes or cut is not null)")).alias("pass"))
+    draws = laid.select("mix_key", "mix_block", "passes", "cut", F.explode(F.expr("filter(sequence(0, passes), p -> p < passes or cut is not null)")).alias("pass"))
+    draws = draws.withColumn("cut", F.when(F.col("pass") < F.col("passes"), top).otherwise(F.col("cut"))).drop("passes")
     at = F.row_number().over(Window.partitionBy("mix_key").orderBy("pass", F.xxhash64(F.lit(seed), "pass", "mix_key", "mix_block"), "mix_block")) - 1
     leaf = split_tree(draws.groupBy("mix_key").agg(F.count("*").alias("quota")), shards, seed)
     upto = F.sum("quota").over(Window.partitionBy("mix_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    owned = leaf.withColumn("upto", upto).groupBy("mix_key").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("leaves"))
-    placed = draws.withColumn("at", at).join(owned, "mix_key").withColumn("shard", F.expr("filter(leaves, x -> x.upto > at)[0].shard"))
-    shards_of = placed.groupBy("mix_key", "mix_block").agg(F.expr("transform(array_sort(collect_list(struct(pass, shard))), x -> x.shard)").alias("shards"))
-    return laid.join(shards_of, ["mix_key", "mix_block"], "left")
+    owned = leaf.withColumn("upto", upto).where("quota > 0").select("mix_key", "shard", F.explode(F.expr("sequence(upto - quota, upto - 1)")).alias("at"))
+    placed = draws.withColumn("at", at.cast("bigint")).join(owned, ["mix_key", "at"])
+    drawn = placed.groupBy("mix_key", "mix_block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "cut"))).alias("draws"))
+    return laid.join(drawn, ["mix_key", "mix_block"], "left").select("mix_key", "mix_block", "source_size", "target", "draws", F.lit(blocks).alias("blocks"), F.lit(shards).alias("shards"))
 
 
 def _with_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    """``docs`` with its block's part of the plan (all names begin with mix_) and mix_copies."""
-    named = checkpointed(planned.select("mix_key", "mix_block", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "passes", "cut", "shards")]))
-    small = named.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(named) if small else named, ["mix_key", "mix_block"])
-    return joined.withColumn("mix_copies", F.col("mix_passes") + F.when(F.col("mix_h") <= F.col("mix_cut"), 1).otherwise(0))
+    """``docs`` (mix_key, mix_h, ...) with mix_source_size, mix_target, mix_shards and ``mix_copies``: (shard, order) of each copy the leaves' draws take."""
+    named = checkpointed(planned.select("mix_key", "mix_block", *[F.col(c).alias(f"mix_{c}") for c in ("source_size", "target", "draws", "blocks", "shards")]))
+    n, blocks = named.agg(F.count("*"), F.coalesce(F.max("mix_blocks"), F.lit(BLOCKS))).first()
+    joined = docs.withColumn("mix_block", _block(blocks)).join(F.broadcast(named) if n <= BROADCAST_ROWS else named, ["mix_key", "mix_block"])
+    mine = F.filter(F.coalesce("mix_draws", F.array().cast("array<struct<pass:int,shard:int,cut:bigint>>")), lambda d: F.col("mix_h") <= d["cut"])
+    return joined.withColumn("mix_copies", F.transform(mine, lambda d: F.struct(d["shard"].alias("shard"), F.xxhash64(d["shard"], d["pass"], F.col("mix_h")).alias("order"))))
 
 
-def decisions(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, taken and ``shards``, that of each copy."""
-    blocks, seed = options.get("blocks", BLOCKS), options.get("seed", SEED)
-    narrow = checkpointed(sizes(docs, blocks, seed))
-    joined = _with_plan(narrow, plan(narrow, **options))
-    shards = F.slice(F.coalesce("mix_shards", F.array().cast("array<int>")), F.lit(1), F.col("mix_copies"))
-    return joined.select("doc_id", "source", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"), shards.alias("shards"))
+def decisions(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, taken, and of each copy its shard (``shards``) and its place there (``orders``)."""
+    narrow = checkpointed(sizes(docs, seed))
+    joined = _with_plan(narrow, plan(narrow, seed=seed, **options))
+    return joined.select(
+        "doc_id", "source", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.size("mix_copies")).alias("taken"),
+        F.col("mix_copies.shard").alias("shards"), F.col("mix_copies.order").alias("orders"),
+    )
 
 
-def mixed(docs: DataFrame, placed: bool = False, **options) -> DataFrame:
+def mixed(docs: DataFrame, placed: bool = False, seed: int = SEED, **options) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them, with all their columns.
 
-    ``placed`` adds mix_shard and mix_order, the place in the shard.
+    ``placed`` gives (mix_row, mix_shard, mix_order, mix_n) instead: the columns as a struct, the place, and the number of shards.
     """
-    blocks, seed = options.get("blocks", BLOCKS), options.get("seed", SEED)
-    narrow = checkpointed(sizes(docs, blocks, seed))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    drawn = _with_plan(_keyed(docs, blocks, seed), plan(narrow, **options)).where("mix_copies > 0")
-    drawn = drawn.select(*names, "mix_h", F.posexplode(F.slice("mix_shards", F.lit(1), F.col("mix_copies"))).alias("mix_pass", "mix_shard"))
+    narrow = checkpointed(sizes(docs, seed))
+    drawn = _with_plan(_keyed(docs, seed), plan(narrow, seed=seed, **options))
+    copies = drawn.select("mix_row", F.col("mix_shards").alias("mix_n"), F.explode("mix_copies").alias("mix_copy"))
     if placed:
-        return drawn.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "mix_pass", "mix_h")).drop("mix_h", "mix_pass")
-    return drawn.select(*names)
+        return copies.select("mix_row", F.col("mix_copy.shard").alias("mix_shard"), F.col("mix_copy.order").alias("mix_order"), "mix_n")
+    return copies.select("mix_row.*")
+
+
+def shuffled(docs: DataFrame, **options) -> DataFrame:
+    """The mix in its shards: rows of a shard are together, in the order of its local shuffle."""
+    placed = mixed(docs, placed=True, **options)
+    return placed.repartition(F.col("mix_shard")).sortWithinPartitions("mix_shard", "mix_order").select("mix_row.*")
