@@ -231,7 +231,10 @@ def test_secrets(docs, none):
 
 def test_urls(spark):
     urls = ["http://A.Example.NET/en/x?q", "https://example.net/de", "x://b.example.com/de/1#f", "https://w.org/fr/", "https://w.org/en/", "https://cheappills.example.com/en/1", "https://free-bets.example.org/en/2", "nourl", None, "", "http://net", "http://NET/", "a://b://c/d"]
-    pages = spark.createDataFrame([(i, u, "<p>cheap pills and free museum blog words museum blog museum blog cheap cheap pills pills</p>", "extra") for i, u in enumerate(urls)] + [(1, urls[1], None, None)], "page_id long, url string, html string, words string")
+    # The classes are learned from what the rules decide: cheap pills and free bets from net, museums from org/fr.
+    learned = [f"https://{name}{i}.net/x/{i}" for i in range(6) for name in ("cheappills", "free-bets")] + [f"https://museum{i}.org/fr/{word}" for i in range(12) for word in ("blog", "museum")]
+    html = "<p>cheap pills and free bets museum blog words museum blog museum blog cheap cheap pills pills bets free</p>"
+    pages = spark.createDataFrame([(i, u, html, "extra") for i, u in enumerate(urls)] + [(100 + i, u, html, "extra") for i, u in enumerate(learned)] + [(1, urls[1], None, None)], "page_id long, url string, html string, words string")
     got = {r.page_id: r for r in url_filter.judged(pages, url_filter.fit(pages)).collect()}
     assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert [got[i].rule for i in (1, 2, 3, 4)] == ["net/", "example.com/de/", "org/fr/", None]
