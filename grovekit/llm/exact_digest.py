@@ -6,6 +6,8 @@ form a bucket, and inside a bucket the canonical bytes themselves are compared,
 a hash part ways: ``exact_groups`` groups by hash and bytes, the bytes compressed. Equal bytes compress
 equally, and grouping merges copies before the shuffle, so a large group of copies costs a row a task.
 
+Texts are read and hashed once (``prepared``); what follows works on their hashes and packed bytes.
+
 An exact digest has two likenesses: 1 for equal digests and 0 for others.
 
 Cases: a null text is taken as empty; empty texts have the digest of no bytes. Equal texts have equal
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns
+from .common import checkpointed, map_columns
 
 #: Rows aimed at in a range of doc_ids, and the number of ranges at most. Ranges are sorted and walked, never held.
 RANGE_ROWS = 2000
-RANGES = 4096
+RANGES = 1 << 16
 #: The bitmap of repeated fingerprints has two to this power bits (512 KB), however many rows there are.
 BITS = 22
+#: Classes of copies up to which they are broadcast; a row is under 200 bytes, so this is at most 20 MB.
+BROADCAST_ROWS = 100_000
 
 
 def canonical(text: str | None) -> str:
@@ -49,26 +54,38 @@ def digest_of(canon: bytes) -> str:
     return xxh3_128_hexdigest(canon)
 
 
-def fingerprint(text: str | None) -> str:
-    return digest_of(canonical(text).encode("utf-8", "surrogatepass"))
+def fingerprint(text: str | None, digest: Callable = digest_of) -> str:
+    return digest(canonical(text).encode("utf-8", "surrogatepass"))
 
 
 def likeness(a: str, b: str) -> float:
     return 1.0 if a == b else 0.0
 
 
-def _make_digest() -> Callable:
-    return lambda texts: {"fingerprint": [fingerprint(t) for t in texts]}
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) for each row."""
-    return map_columns(docs, ["doc_id", "text"], "fingerprint string", _make_digest)
+    return map_columns(docs, ["doc_id", "text"], "fingerprint string", lambda: lambda texts: {"fingerprint": [fingerprint(t) for t in texts]})
+
 
+def prepared(docs: DataFrame, digest: Callable = digest_of) -> DataFrame:
+    """(doc_id, fingerprint, packed) for each row, written once: the digest, and the text itself compressed."""
 
-def _repeated(docs: DataFrame) -> bytes:
-    """``2 ** BITS`` bits, set at the first bits of each fingerprint that more than one row has."""
-    seen = fingerprints(docs).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    def make() -> Callable:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        return lambda texts: {"fingerprint": [fingerprint(t, digest) for t in texts], "packed": [pack.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts]}
+
+    return checkpointed(map_columns(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id", "text"], "fingerprint string, packed binary", make))
+
+
+def _place(fingerprint: str) -> int:
+    return int(fingerprint[:8], 16) & ((1 << BITS) - 1)
+
+
+def repeated(base: DataFrame) -> bytes:
+    """``2 ** BITS`` bits, set at the first bits of each fingerprint that more than one row of ``prepared`` has."""
+    seen = base.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
     first = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << BITS) - 1))
     words = seen.select(F.shiftright(first, 6).alias("word"), F.pmod(first, F.lit(64)).cast("int").alias("bit"))
     words = words.select("word", F.expr("shiftleft(1L, bit)").alias("set")).groupBy("word").agg(F.bit_or("set").alias("set"))
@@ -78,36 +95,51 @@ def _repeated(docs: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """(fingerprint, member, first_doc_id, copies): the classes of equal canonical bytes.
+def _marked(marks: bytes) -> Callable[[str], bool]:
+    bits = np.frombuffer(marks, np.uint8)
+    return lambda f: bool(bits[_place(f) >> 3] >> (_place(f) & 7) & 1)
+
+
+def _unpacked(packed: bytes, unpack) -> str:  # noqa: ANN001 a decompressor
+    return unpack.decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+
+
+def exact_groups(docs: DataFrame | None, base: DataFrame | None = None, marks: bytes | None = None) -> DataFrame:
+    """(fingerprint, member, first_doc_id, copies, byte_key): the classes of equal canonical bytes.
 
     ``member`` numbers the classes that share a fingerprint, 0 but for collisions of the hash. Bytes are
-    compared where a fingerprint may be that of several rows: a first pass over the fingerprints marks
-    those in a bitmap of fixed size, and a fingerprint of a single row needs no bytes to be told apart.
+    compared where a fingerprint may be that of several rows, as a bitmap of fixed size says; a fingerprint of a
+    single row needs no bytes to be told apart, and its ``byte_key`` may be null. Else that is the bytes' SHA-256.
     """
-    import zstandard
-
-    marks = _repeated(docs)
+    base = prepared(docs) if base is None else base
+    marks = repeated(base) if marks is None else marks
 
-    def make() -> Callable:
-        pack = zstandard.ZstdCompressor(level=3)
-        bits = np.frombuffer(marks, np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-        def marked(fingerprint: str) -> bool:
-            at = int(fingerprint[:8], 16) & ((1 << BITS) - 1)
-            return bool(bits[at >> 3] >> (at & 7) & 1)
+        pack, unpack, is_marked = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), _marked(marks)
+        for batch in batches:
+            keys, raws = [], []
+            for f, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                raw = canonical(_unpacked(packed, unpack)).encode("utf-8", "surrogatepass") if is_marked(f) else None
+                raws.append(b"" if raw is None else pack.compress(raw))
+                keys.append(None if raw is None else hashlib.sha256(raw).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary()), pa.array(keys, pa.string())], ["doc_id", "fingerprint", "bytes", "byte_key"])
 
-        def work(texts: list) -> dict:
-            raws = [canonical(t).encode("utf-8", "surrogatepass") for t in texts]
-            found = [digest_of(r) for r in raws]
-            return {"fingerprint": found, "packed": [pack.compress(r) if marked(f) else b"" for f, r in zip(found, raws, strict=True)]}
+    compared = base.mapInArrow(run, "doc_id long, fingerprint string, bytes binary, byte_key string")
+    classes = compared.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"), F.first("byte_key").alias("byte_key"))
+    of = classes.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("first_doc_id", "copies", "byte_key"))).alias("all"))
+    return of.select("fingerprint", F.posexplode("all").alias("member", "c")).select("fingerprint", "member", "c.first_doc_id", "c.copies", "c.byte_key")
 
-        return work
 
-    packed = map_columns(docs, ["doc_id", "text"], "fingerprint string, packed binary", make)
-    classes = packed.groupBy("fingerprint", "packed").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
-    of = classes.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("first_doc_id", "copies"))).alias("all"))
-    return of.select("fingerprint", F.posexplode("all").alias("member", "c")).select("fingerprint", "member", "c.first_doc_id", "c.copies")
+def with_classes(docs: DataFrame, digest: Callable = digest_of) -> DataFrame:
+    """``with_edits``, and the first doc_id and the size of each row's class of equal canonical bytes."""
+    base = prepared(docs, digest)
+    marks = repeated(base)
+    classes = checkpointed(exact_groups(None, base, marks).where("copies > 1").select("fingerprint", "byte_key", "first_doc_id", "copies"))
+    small = classes.count() <= BROADCAST_ROWS
+    found = with_edits(docs, base, marks, digest).join(F.broadcast(classes) if small else classes, ["fingerprint", "byte_key"], "left")
+    return found.withColumns({"first_doc_id": F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("first_doc_id")), "copies": F.coalesce("copies", F.lit(1))}).drop("byte_key")
 
 
 def edited(text: str, after: str) -> str:
@@ -116,24 +148,27 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, extra, doc_id, packed) sorted by range and place; the row after each is its next document."""
-    import zstandard
+def _walker(marks: bytes | None, digest: Callable) -> Callable:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (range, extra, doc_id, fingerprint, packed) sorted by range and place; the row after each is its next document."""
+        import zstandard
+
+        unpack, is_marked = zstandard.ZstdDecompressor(), _marked(marks) if marks else lambda f: False
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("byte_key", pa.string())])
+        held = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                now = (row["range"], row["extra"], row["doc_id"], _unpacked(row["packed"], unpack), row["fingerprint"])
+                if held and held[0] == now[0] and not held[1]:
+                    change = edited(held[3], now[3])
+                    mark = held[4] if change == held[3] else fingerprint(change, digest)
+                    key = hashlib.sha256(canonical(held[3]).encode("utf-8", "surrogatepass")).hexdigest() if is_marked(held[4]) else None
+                    out.append({"doc_id": held[2], "n_chars": len(held[3]), "edited_sha256": hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": held[4], "edited_fingerprint": mark, "near_edited": likeness(held[4], mark), "near_next": likeness(held[4], now[4]), "byte_key": key})
+                held = now
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    unpack = zstandard.ZstdDecompressor()
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    held = None
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            text = unpack.decompress(row["packed"]).decode("utf-8", "surrogatepass") if row["packed"] else ""
-            now = (row["range"], row["extra"], row["doc_id"], text, fingerprint(text))
-            if held and held[0] == now[0] and not held[1]:
-                change = edited(held[3], now[3])
-                mark = fingerprint(change)
-                out.append({"doc_id": held[2], "n_chars": len(held[3]), "edited_sha256": hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": held[4], "edited_fingerprint": mark, "near_edited": likeness(held[4], mark), "near_next": likeness(held[4], now[4])})
-            held = now
-        yield pa.RecordBatch.from_pylist(out, schema)
+    return walk
 
 
 def _placed(df: DataFrame, cuts: list[int], firsts: dict | None = None) -> DataFrame:
@@ -164,27 +199,21 @@ def _placed(df: DataFrame, cuts: list[int], firsts: dict | None = None) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def with_edits(docs: DataFrame) -> DataFrame:
+def with_edits(docs: DataFrame | None, base: DataFrame | None = None, marks: bytes | None = None, digest: Callable = digest_of) -> DataFrame:
     """Each document's digest beside that of its edited text and of the next document, by ascending doc_id.
 
     The ids are cut into ranges of about ``RANGE_ROWS`` rows, ``RANGES`` at most; the first row of a range
     is also sent to the one before it (that of the first range to the last), so that no range needs to see
-    another. Texts cross the network once, compressed. The cuts are quantiles of all ids.
+    another. Texts cross the network once, compressed. The cuts are quantiles of all ids. ``byte_key`` is given
+    where ``marks`` says that a fingerprint may be that of several rows.
     """
-    slim = docs.select(F.col("doc_id").cast("bigint"))
+    base = prepared(docs, digest) if base is None else base
+    slim = base.select("doc_id")
     n = max(1, min(RANGES, -(-slim.count() // RANGE_ROWS)))
     cuts = [] if n == 1 else sorted(set(slim.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or []))
     key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     rows = _placed(slim, cuts).groupBy("range").agg(F.min(key).alias("first")).orderBy("range").collect()
     firsts = {r.range: (bool(r.first.has), int(r.first.id), rows[i - 1].range) for i, r in enumerate(rows)}
-
-    def make() -> Callable:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        return lambda texts: {"packed": [pack.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts]}
-
-    packed = map_columns(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id", "text"], "packed binary", make)
-    sent = _placed(packed, cuts, firsts) if firsts else packed.withColumns({"range": F.lit(0), "extra": F.lit(False)})
-    ordered = sent.select("range", "extra", "doc_id", "packed").repartition(F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), "packed")
-    return ordered.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    sent = _placed(base, cuts, firsts) if firsts else base.withColumns({"range": F.lit(0), "extra": F.lit(False)})
+    ordered = sent.select("range", "extra", "doc_id", "fingerprint", "packed").repartition(F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), "packed")
+    return ordered.mapInArrow(_walker(marks, digest), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, byte_key string")

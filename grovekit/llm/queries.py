@@ -46,14 +46,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests beside the edited and next texts', and the class of equal canonical bytes: its first doc_id and size.
-
-    Where a hash should have several classes, copies and first_doc_id are those of all of them; exact_groups tells them apart.
-    """
+    """Digests beside the edited and next texts', and the class of equal canonical bytes: its first doc_id and size."""
     short_batches(spark)
-    docs = read_table(spark, sf_dir, "documents")
-    classes = exact_digest.exact_groups(docs).groupBy("fingerprint").agg(F.min("first_doc_id").alias("first_doc_id"), F.sum("copies").alias("copies"))
-    return exact_digest.with_edits(docs).join(classes, "fingerprint", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "first_doc_id", "copies")
+    found = exact_digest.with_classes(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "first_doc_id", "copies")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
