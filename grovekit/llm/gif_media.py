@@ -6,8 +6,10 @@ with array operations: the width of the k-th code after a clear code depends on
 between clear codes is cut into codes at once; a code's output is a copy of earlier output, one byte
 longer than the code it extends; lengths and sources are then resolved by pointer doubling.
 
-Storing puts bytes as 8-bit samples into frames of ``WIDTH`` times up to ``ROWS`` samples, with a grey
-palette of 256 entries, compressed by LZW; reading the frames' samples back gives the bytes again.
+Storing puts bytes as 8-bit samples into frames of ``WIDTH`` times up to ``ROWS`` samples, compressed by LZW. The
+shared palette has 8 levels of red and green and 4 of blue; every other frame has its own, in reverse order. Disposal goes
+through leave, clear and restore, and from the second frame on sample 0 is transparent. None of that touches the
+samples: reading them back gives the bytes again.
 
 Cases: null and empty texts are stored as 64 zero samples. Equal bytes give equal files. Broken or
 truncated streams raise ``ValueError`` in ``decode``; the frame table gives no row for a null or broken
@@ -35,7 +37,8 @@ DELAY = 4  # hundredths of a second
 CLEAR, END = 256, 257
 _FULL = 4096
 
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+_COLOURS = bytes(v for i in range(256) for v in (i & 0xE0, i << 3 & 0xE0, i << 6 & 0xC0))
+_REVERSED = bytes(v for i in reversed(range(256)) for v in _COLOURS[3 * i : 3 * i + 3])
 
 
 def _widths(n: int, small: int) -> np.ndarray:
@@ -155,10 +158,11 @@ def store(payload: bytes) -> bytes:
     """A GIF whose frames' samples are ``payload``, which has a positive multiple of WIDTH bytes."""
     frame = WIDTH * ROWS
     height = min(ROWS, len(payload) // WIDTH)
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), _GREY]
-    for i in range(0, len(payload), frame):
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), _COLOURS]
+    for k, i in enumerate(range(0, len(payload), frame)):
         part = payload[i : i + frame]
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part))]
+        own = k % 2
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", (1 + k % 3) << 2 | (k > 0), DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0x87 if own else 0), _REVERSED if own else b"", b"\x08", _blocks(lzw_encode(part))]
     return b"".join(out) + b"\x3b"
 
 
@@ -267,25 +271,33 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % WIDTH if raw else WIDTH), len(raw)
 
 
-def read_back(media: bytes) -> tuple[bytes, str]:
-    """The samples of all frames, and a feature: frames, total delay and the histograms' sum over the grey bins."""
-    parts, total, frames, delay = [], np.zeros(64, np.int64), 0, 0
+def read_back(media: bytes) -> tuple[bytes, list[dict]]:
+    """The samples of all frames, and for each its time, disposal and colour histogram as it is shown, by the bins that it uses."""
+    parts, frames = [], []
     for f in decode(media):
         parts.append(f.samples.tobytes())
-        total += histogram(f.canvas)
-        frames, delay = frames + 1, delay + f.delay
-    used = np.flatnonzero(total)
-    return b"".join(parts), f"frames={frames};delay={delay};" + ",".join(f"{i}:{total[i]}" for i in used)
+        bins = histogram(f.canvas)
+        used = np.flatnonzero(bins)
+        frames.append({"index": f.index, "delay": f.delay, "disposal": f.disposal, "bins": used.tolist(), "pixels": bins[used].tolist()})
+    return b"".join(parts), frames
+
+
+def feature_of(frames: list[dict]) -> str:
+    """Frames, total delay, and the histograms' sum."""
+    total = np.zeros(64, np.int64)
+    for f in frames:
+        total[f["bins"]] += f["pixels"]
+    return f"frames={len(frames)};delay={sum(f['delay'] for f in frames)};" + ",".join(f"{i}:{total[i]}" for i in np.flatnonzero(total))
 
 
 def _make_stored() -> Callable:
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")
 
     def one(text: str | None) -> tuple:
         payload, n = padded(text)
         media = store(payload)
-        back, feature = read_back(media)
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        back, frames = read_back(media)
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(frames), frames
 
     def work(texts: list) -> dict:
         rows = [one(t) for t in texts]
@@ -296,7 +308,7 @@ def _make_stored() -> Callable:
 
 def stored_digests(docs: DataFrame) -> DataFrame:
     """Each text stored as GIF, read back, and described; see ``padded`` and ``read_back``."""
-    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<index:int,delay:int,disposal:int,bins:array<int>,pixels:array<bigint>>>"
     return map_columns(docs, ["doc_id", "text"], added, _make_stored)
 
 
