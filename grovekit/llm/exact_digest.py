@@ -6,7 +6,8 @@ form a bucket, and inside a bucket the canonical bytes themselves are compared,
 a hash part ways: ``exact_groups`` groups by hash and bytes, the bytes compressed. Equal bytes compress
 equally, and grouping merges copies before the shuffle, so a large group of copies costs a row a task.
 
-Texts are read and hashed once (``prepared``); what follows works on their hashes and packed bytes.
+A first pass (``prepared``) keeps the digest of each row, and only that. It says which digests repeat; bytes are
+compared for these alone.
 
 An exact digest has two likenesses: 1 for equal digests and 0 for others.
 
@@ -68,26 +69,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame, digest: Callable = digest_of) -> DataFrame:
-    """(doc_id, fingerprint, packed) for each row, written once: the digest, and the text itself compressed."""
+    """(doc_id, text_key, fingerprint) for each row, written once; ``text_key`` is a hash of the text as it is."""
+    return checkpointed(map_columns(_keyed(docs), ["doc_id", "text_key", "text"], "fingerprint string", lambda: lambda texts: {"fingerprint": [fingerprint(t, digest) for t in texts]}))
 
-    def make() -> Callable:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        return lambda texts: {"fingerprint": [fingerprint(t, digest) for t in texts], "packed": [pack.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts]}
 
-    return checkpointed(map_columns(docs.select(F.col("doc_id").cast("bigint"), "text"), ["doc_id", "text"], "fingerprint string, packed binary", make))
-
-
-def _place(fingerprint: str) -> int:
-    return int(fingerprint[:8], 16) & ((1 << BITS) - 1)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
 
 def repeated(base: DataFrame) -> bytes:
-    """``2 ** BITS`` bits, set at the first bits of each fingerprint that more than one row of ``prepared`` has."""
-    seen = base.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
-    first = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = seen.select(F.shiftright(first, 6).alias("word"), F.pmod(first, F.lit(64)).cast("int").alias("bit"))
+    """``2 ** BITS`` bits, set at the last bits of the text_keys whose fingerprint more than one row of ``prepared`` has."""
+    texts = base.groupBy("fingerprint", "text_key").agg(F.count("*").alias("n"))
+    many = texts.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint")
+    at = F.col("text_key").bitwiseAND(F.lit((1 << BITS) - 1))
+    words = texts.join(many, "fingerprint", "left_semi").select(F.shiftright(at, 6).alias("word"), F.pmod(at, F.lit(64)).cast("int").alias("bit"))
     words = words.select("word", F.expr("shiftleft(1L, bit)").alias("set")).groupBy("word").agg(F.bit_or("set").alias("set"))
     bits = np.zeros(1 << (BITS - 6), np.int64)
     for r in words.collect():
@@ -95,50 +90,46 @@ def repeated(base: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _marked(marks: bytes) -> Callable[[str], bool]:
-    bits = np.frombuffer(marks, np.uint8)
-    return lambda f: bool(bits[_place(f) >> 3] >> (_place(f) & 7) & 1)
-
-
-def _unpacked(packed: bytes, unpack) -> str:  # noqa: ANN001 a decompressor
-    return unpack.decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+def _marked(marks: bytes, keys: np.ndarray) -> np.ndarray:
+    at = keys & ((1 << BITS) - 1)
+    return (np.frombuffer(marks, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def exact_groups(docs: DataFrame | None, base: DataFrame | None = None, marks: bytes | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, base: DataFrame | None = None, marks: bytes | None = None, digest: Callable = digest_of) -> DataFrame:
     """(fingerprint, member, first_doc_id, copies, byte_key): the classes of equal canonical bytes.
 
     ``member`` numbers the classes that share a fingerprint, 0 but for collisions of the hash. Bytes are
     compared where a fingerprint may be that of several rows, as a bitmap of fixed size says; a fingerprint of a
     single row needs no bytes to be told apart, and its ``byte_key`` may be null. Else that is the bytes' SHA-256.
     """
-    base = prepared(docs) if base is None else base
+    base = prepared(docs, digest) if base is None else base
     marks = repeated(base) if marks is None else marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack, unpack, is_marked = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), _marked(marks)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            keys, raws = [], []
-            for f, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = canonical(_unpacked(packed, unpack)).encode("utf-8", "surrogatepass") if is_marked(f) else None
-                raws.append(b"" if raw is None else pack.compress(raw))
-                keys.append(None if raw is None else hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raws, pa.binary()), pa.array(keys, pa.string())], ["doc_id", "fingerprint", "bytes", "byte_key"])
-
-    compared = base.mapInArrow(run, "doc_id long, fingerprint string, bytes binary, byte_key string")
+            yes = pa.array(_marked(marks, batch.column(1).to_numpy()))
+            raws = [canonical(t).encode("utf-8", "surrogatepass") for t in batch.column(2).filter(yes).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), pa.array(map(digest, raws), pa.string()), pa.array(map(pack.compress, raws), pa.binary()), pa.array([hashlib.sha256(r).hexdigest() for r in raws], pa.string())], ["doc_id", "fingerprint", "bytes", "byte_key"])
+
+    compared = _keyed(docs).mapInArrow(run, "doc_id long, fingerprint string, bytes binary, byte_key string")
     classes = compared.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"), F.first("byte_key").alias("byte_key"))
     of = classes.groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("first_doc_id", "copies", "byte_key"))).alias("all"))
-    return of.select("fingerprint", F.posexplode("all").alias("member", "c")).select("fingerprint", "member", "c.first_doc_id", "c.copies", "c.byte_key")
+    many = of.select("fingerprint", F.posexplode("all").alias("member", "c")).select("fingerprint", "member", "c.first_doc_id", "c.copies", "c.byte_key")
+    once = base.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")).where("copies = 1")
+    once = once.join(many, "fingerprint", "left_anti").select("fingerprint", F.lit(0).alias("member"), "first_doc_id", "copies", F.lit(None).cast("string").alias("byte_key"))
+    return many.unionByName(once)
 
 
 def with_classes(docs: DataFrame, digest: Callable = digest_of) -> DataFrame:
     """``with_edits``, and the first doc_id and the size of each row's class of equal canonical bytes."""
     base = prepared(docs, digest)
     marks = repeated(base)
-    classes = checkpointed(exact_groups(None, base, marks).where("copies > 1").select("fingerprint", "byte_key", "first_doc_id", "copies"))
+    classes = checkpointed(exact_groups(docs, base, marks, digest).where("copies > 1").select("fingerprint", "byte_key", "first_doc_id", "copies"))
     small = classes.count() <= BROADCAST_ROWS
-    found = with_edits(docs, base, marks, digest).join(F.broadcast(classes) if small else classes, ["fingerprint", "byte_key"], "left")
+    found = with_edits(docs, marks, digest).join(F.broadcast(classes) if small else classes, ["fingerprint", "byte_key"], "left")
     return found.withColumns({"first_doc_id": F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("first_doc_id")), "copies": F.coalesce("copies", F.lit(1))}).drop("byte_key")
 
 
@@ -148,23 +139,28 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _walker(marks: bytes | None, digest: Callable) -> Callable:
+def _unpacked(packed: bytes, unpack) -> str:  # noqa: ANN001 a decompressor
+    return unpack.decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+
+
+def _walker(digest: Callable) -> Callable:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (range, extra, doc_id, fingerprint, packed) sorted by range and place; the row after each is its next document."""
+        """Rows (range, extra, doc_id, marked, packed) sorted by range and place; the row after each is its next document."""
         import zstandard
 
-        unpack, is_marked = zstandard.ZstdDecompressor(), _marked(marks) if marks else lambda f: False
+        unpack = zstandard.ZstdDecompressor()
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("byte_key", pa.string())])
         held = None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                now = (row["range"], row["extra"], row["doc_id"], _unpacked(row["packed"], unpack), row["fingerprint"])
+                text = _unpacked(row["packed"], unpack)
+                raw = canonical(text).encode("utf-8", "surrogatepass")
+                now = (row["range"], row["extra"], row["doc_id"], text, digest(raw), hashlib.sha256(raw).hexdigest() if row["marked"] else None)
                 if held and held[0] == now[0] and not held[1]:
                     change = edited(held[3], now[3])
                     mark = held[4] if change == held[3] else fingerprint(change, digest)
-                    key = hashlib.sha256(canonical(held[3]).encode("utf-8", "surrogatepass")).hexdigest() if is_marked(held[4]) else None
-                    out.append({"doc_id": held[2], "n_chars": len(held[3]), "edited_sha256": hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": held[4], "edited_fingerprint": mark, "near_edited": likeness(held[4], mark), "near_next": likeness(held[4], now[4]), "byte_key": key})
+                    out.append({"doc_id": held[2], "n_chars": len(held[3]), "edited_sha256": hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": held[4], "edited_fingerprint": mark, "near_edited": likeness(held[4], mark), "near_next": likeness(held[4], now[4]), "byte_key": held[5]})
                 held = now
             yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -199,7 +195,7 @@ def _placed(df: DataFrame, cuts: list[int], firsts: dict | None = None) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def with_edits(docs: DataFrame | None, base: DataFrame | None = None, marks: bytes | None = None, digest: Callable = digest_of) -> DataFrame:
+def with_edits(docs: DataFrame, marks: bytes | None = None, digest: Callable = digest_of) -> DataFrame:
     """Each document's digest beside that of its edited text and of the next document, by ascending doc_id.
 
     The ids are cut into ranges of about ``RANGE_ROWS`` rows, ``RANGES`` at most; the first row of a range
@@ -207,13 +203,23 @@ def with_edits(docs: DataFrame | None, base: DataFrame | None = None, marks: byt
     another. Texts cross the network once, compressed. The cuts are quantiles of all ids. ``byte_key`` is given
     where ``marks`` says that a fingerprint may be that of several rows.
     """
-    base = prepared(docs, digest) if base is None else base
-    slim = base.select("doc_id")
+    slim = docs.select(F.col("doc_id").cast("bigint"))
     n = max(1, min(RANGES, -(-slim.count() // RANGE_ROWS)))
     cuts = [] if n == 1 else sorted(set(slim.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or []))
     key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     rows = _placed(slim, cuts).groupBy("range").agg(F.min(key).alias("first")).orderBy("range").collect()
     firsts = {r.range: (bool(r.first.has), int(r.first.id), rows[i - 1].range) for i, r in enumerate(rows)}
-    sent = _placed(base, cuts, firsts) if firsts else base.withColumns({"range": F.lit(0), "extra": F.lit(False)})
-    ordered = sent.select("range", "extra", "doc_id", "fingerprint", "packed").repartition(F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), "packed")
-    return ordered.mapInArrow(_walker(marks, digest), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, byte_key string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yes = _marked(marks, batch.column(1).to_numpy()) if marks else np.zeros(batch.num_rows, bool)
+            packed = [pack.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(yes), pa.array(packed, pa.binary())], ["doc_id", "marked", "packed"])
+
+    packed = _keyed(docs).mapInArrow(run, "doc_id long, marked boolean, packed binary")
+    sent = _placed(packed, cuts, firsts) if firsts else packed.withColumns({"range": F.lit(0), "extra": F.lit(False)})
+    ordered = sent.select("range", "extra", "doc_id", "marked", "packed").repartition(F.col("range")).sortWithinPartitions("range", "extra", F.col("doc_id").asc_nulls_first(), "packed")
+    return ordered.mapInArrow(_walker(digest), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, byte_key string")

@@ -98,7 +98,7 @@ def test_equal_hashes_of_different_bytes_part(spark):
 
     got = {r.doc_id: (r.first_doc_id, r.copies) for r in exact_digest.with_classes(docs, by_length).collect()}
     assert got == {0: (0, 3), 1: (0, 3), 3: (0, 3), 2: (2, 2), 5: (2, 2), 4: (4, 1), 6: (6, 1)}
-    groups = exact_digest.exact_groups(None, exact_digest.prepared(docs, by_length)).collect()
+    groups = exact_digest.exact_groups(docs, digest=by_length).collect()
     assert sorted((int(g.fingerprint, 16), g.member, g.copies) for g in groups) == [(2, 0, 3), (2, 1, 2), (3, 0, 1), (4, 0, 1)]
     nulls = spark.createDataFrame([(None, "x"), (None, None), (None, "x")], "doc_id long, text string")
     assert [(r.first_doc_id, r.copies) for r in exact_digest.with_classes(nulls).orderBy("copies").collect()] == [(None, 1), (None, 2), (None, 2)]
