@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovekit.llm import mil_quality, mixing_tree, secret_battery, sentencepiece_scan, shingle_links
-from grovekit.llm.common import fresh, read_table, shared_folder, short_batches
+from grovekit.llm.common import checkpointed, fresh, read_table, shared_folder, short_batches
 
 # SQL can express neither the learned filter nor the encoding; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -27,6 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: Keys of dropped rows up to which they are broadcast (two longs each, so about 20 MB); beyond it rows are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id: five-word shingles, similarity 0.8 or more.
 
@@ -35,12 +39,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     short_batches(spark)
     row_key, text_key, place = (fresh(x, docs.columns) for x in ("stage_row_key", "stage_text_key", "stage_place"))
+    key, names = [row_key, text_key], [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumns({row_key: F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 61)), text_key: shingle_links.text_key()})
     found = shingle_links.near_copies(keyed.select(F.col(row_key).alias("doc_id"), "text"))
-    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low")).select(F.col("low.doc_id").alias(row_key), F.col("low.text_key").alias(text_key))
-    rows = keyed.join(stays, [row_key, text_key], "left_semi")
-    alike = Window.partitionBy(row_key, text_key).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-    return rows.withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    low = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low"))
+    gone = found.join(low, "component").where(F.struct("doc_id", "text_key") != F.col("low")).select(F.col("doc_id").alias(row_key), F.col("text_key").alias(text_key)).distinct()
+    again = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+
+    def held(rows: DataFrame) -> DataFrame:
+        rows = checkpointed(rows)
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    gone, again = held(gone), held(again)
+    rows = keyed.join(gone, key, "left_anti")
+    alike = Window.partitionBy(*key).orderBy(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = rows.join(again, key, "left_semi").withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1)
+    return rows.join(again, key, "left_anti").select(*names).unionByName(one.select(*names))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

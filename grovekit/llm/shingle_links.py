@@ -40,13 +40,13 @@ WORDS = 5
 SEED = 42
 #: Buckets of the shingle counts, as a power of two.
 COUNT_BITS = 16
-#: Min-hash bands and the values in one: at similarity 0.8, 0.997 of the pairs share a band.
-BANDS = 8
-ROWS = 3
+#: Min-hash bands and the values in one: at similarity 0.8, 0.98 of the pairs share a band.
+BANDS = 4
+ROWS = 2
 #: Bits of the bitmap of the texts whose sets are compared, as a power of two (512 KB).
 MARK_BITS = 22
-#: Buckets of the parities, as a power of two (128 bytes a class).
-PARITY_BITS = 10
+#: Buckets of the parities, as a power of two (64 bytes a class).
+PARITY_BITS = 9
 _BLOCK = 1 << 15
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -155,9 +155,9 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(9 * odd <= batch.column(2).to_numpy()))
 
 
-def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _checked(docs: DataFrame, marked: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (u, v) of classes that are similar, by their full sets."""
-    brief = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv"]
+    brief = [marked.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv"]
     pairs = checkpointed(pairs.join(brief[0], "u").join(brief[1], "v").select("u", "v", F.expr("n_u + n_v").alias("n"), "parity_u", "parity_v").mapInArrow(_possible, "u long, v long"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     asked = checkpointed(classes.select("node", "set_key", "text_key").join(nodes, "node", "left_semi"))
@@ -269,15 +269,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ``text_key`` tells rows apart that share an id. ``component`` numbers the components, which ids don't where they repeat.
     """
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
-    marked = checkpointed(map_columns(texts, ["doc_id", "text_key", "text"], "set_key string, n int, weight double, parity binary, fp long, bands array<long>, prefix binary", _marker(_counts(texts))))
-    alike = marked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "weight", "parity", "fp", "bands", "prefix")])
-    classes = checkpointed(alike.withColumn("node", F.monotonically_increasing_id()))
-
-    first = _checked(texts, classes, _ring_pairs(classes).unionByName(_band_pairs(classes)).distinct())
-
-    named = classes.where("n > 0").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n", "prefix")
-    keyed = named.mapInArrow(_spread, "key long, node long, component long, n int, place int").repartition("key").sortWithinPartitions("key")
-    rest = _checked(texts, classes, keyed.mapInArrow(_key_pairs, "u long, v long").distinct())
+    added = "set_key string, n int, weight double, parity binary, fp long, bands array<long>, prefix binary"
+    # The wide columns stay in this table; a class is named by one row of it.
+    marked = checkpointed(map_columns(texts, ["doc_id", "text_key", "text"], added, _marker(_counts(texts))).withColumn("row", F.monotonically_increasing_id()))
+    alike = marked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("row", "text_key", "n", "weight", "fp", "bands")).alias("first"))
+    classes = checkpointed(alike.select("set_key", "rep", F.col("first.row").alias("node"), *[f"first.{c}" for c in ("text_key", "n", "weight", "fp", "bands")]))
+
+    first = _checked(texts, marked, classes, _ring_pairs(classes).unionByName(_band_pairs(classes)).distinct())
+
+    named = classes.where("n > 0").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n")
+    prefixes = named.join(marked.select(F.col("row").alias("node"), "prefix"), "node").select("node", "component", "n", "prefix")
+    keyed = prefixes.mapInArrow(_spread, "key long, node long, component long, n int, place int").repartition("key").sortWithinPartitions("key")
+    rest = _checked(texts, marked, classes, keyed.mapInArrow(_key_pairs, "u long, v long").distinct())
 
     joined = classes.select("node", "set_key", "rep").join(components(first.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -60,7 +60,7 @@ def _texts():
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, bands):
     rows = _texts()
     if not bands:  # the prefix filter alone finds every pair as well
-        monkeypatch.setattr(shingle_links, "_checked", lambda d, c, p, f=shingle_links._checked, first=[True]: f(d, c, p.limit(0) if first and first.pop() else p))
+        monkeypatch.setattr(shingle_links, "_checked", lambda d, m, c, p, f=shingle_links._checked, first=[True]: f(d, m, c, p.limit(0) if first and first.pop() else p))
     got = {r.doc_id: r.component_id for r in shingle_links.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == _groups(rows) and len(set(got.values())) < len(got) - 100
 
