@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Characters, and 64 more for each entry, that a cache holds before it is emptied.
-CACHE_SIZE = 1 << 25
+#: Bytes, taken as 256 and the characters of each entry, that a cache holds before it is emptied.
+CACHE_SIZE = 3 << 25
 
 
 class Automaton:
@@ -49,7 +49,7 @@ class Automaton:
             if self._held > CACHE_SIZE:
                 self._pairs.clear()
                 self._held = 0
-            self._held += len(before) + len(token) + 64
+            self._held += len(before) + len(token) + 256
             got = self._pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
         return got
 

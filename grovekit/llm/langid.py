@@ -119,7 +119,7 @@ class Labeller:
         if self.held > CACHE_SIZE:
             self.at, self.used, self.held = {}, 0, 0
             fresh = sorted(words)
-        self.held += sum(map(len, fresh)) + 64 * len(fresh)
+        self.held += sum(map(len, fresh)) + 256 * len(fresh)
         letters = []
         for w in fresh:
             if w.isalpha() or any(c.isalpha() for c in w):

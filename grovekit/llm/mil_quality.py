@@ -51,7 +51,7 @@ FEATURES = _N_CLASSES + 10 + HASHED
 #: Passages of a training document at most.
 TRAIN_PASSAGES = 256
 #: Bytes of text looked at together.
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: About as many whole passages as a piece holds, from a place in a long text on.
 _SOME = re.compile(rb"[\x09-\x0d ]*(?:[^\x09-\x0d ]+[\x09-\x0d ]+){%d}" % (_PIECE // (8 * PASSAGE) * PASSAGE))

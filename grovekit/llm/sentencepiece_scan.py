@@ -197,7 +197,7 @@ class _Memo(dict):
         if self.held > CACHE_SIZE:
             self.clear()
             self.held = 0
-        self.held += len(key) + 64
+        self.held += len(key) + 256
         got = self[key] = self.f(key)
         return got
 

@@ -158,7 +158,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _checked(docs: DataFrame, marked: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (u, v) of classes that are similar, by their full sets."""
     brief = [marked.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv"]
-    pairs = checkpointed(pairs.join(brief[0], "u").join(brief[1], "v").select("u", "v", F.expr("n_u + n_v").alias("n"), "parity_u", "parity_v").mapInArrow(_possible, "u long, v long"))
+    alike = "4 * greatest(n_u, n_v) <= 5 * least(n_u, n_v)"  # or one set is too small to hold 0.8 of both
+    pairs = checkpointed(pairs.join(brief[0], "u").join(brief[1], "v").where(alike).select("u", "v", F.expr("n_u + n_v").alias("n"), "parity_u", "parity_v").mapInArrow(_possible, "u long, v long"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     asked = checkpointed(classes.select("node", "set_key", "text_key").join(nodes, "node", "left_semi"))
     first = F.col("text_key").bitwiseAND(F.lit((1 << MARK_BITS) - 1))

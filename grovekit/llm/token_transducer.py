@@ -146,7 +146,7 @@ class WordTransducer:
             to = self.ids[new] = len(self.states)
             self.states.append(new)
             self.moves.append({})
-            self.held += 4 * len(new[0]) + 64
+            self.held += 16 * len(new[0]) + 512
         got = self.moves[state][byte] = (to, added)
         return got
 
@@ -160,7 +160,7 @@ class WordTransducer:
             state, added = got if got is not None else self._compiled(state, byte)
             total += added
         self.words[word] = total
-        self.held += len(word) + 64
+        self.held += len(word) + 256
         return total
 
 
