@@ -125,7 +125,7 @@ class WordTransducer:
         self.ids = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
         self.words: dict[str, int] = {"": 0}
-        self.held = 0
+        self.held = self.held_words = 0
 
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """The next state, and the tokens that the byte adds."""
@@ -152,15 +152,17 @@ class WordTransducer:
 
     def tokens_of(self, word: str) -> int:
         """The sum of counts along a word."""
-        if self.held > CACHE_SIZE:
+        if self.held > 2 * CACHE_SIZE:
             self._clear()
+        elif self.held_words > CACHE_SIZE:
+            self.words, self.held_words = {"": 0}, 0
         state, total, moves = 0, 0, self.moves
         for byte in word.encode("utf-8", "surrogatepass"):
             got = moves[state].get(byte)
             state, added = got if got is not None else self._compiled(state, byte)
             total += added
         self.words[word] = total
-        self.held += len(word) + 256
+        self.held_words += len(word) + 256
         return total
 
 
