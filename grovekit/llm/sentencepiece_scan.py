@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,10 +70,22 @@ class Pieces:
             raise ValueError("pieces must not have a space after another character")
         self.joint = joint
         self.lone = "".join(c for c in "\n\r\t" if not any(c in pair for pair in joint))
+        self.words = re.compile(self._word_pattern()).findall
+        self._codes = _Memo(self._word, 7 * CACHE_SIZE // 4)
+        self._parts = _Memo(self._part, CACHE_SIZE // 4)
+
+    def _word_pattern(self) -> str:
+        """Runs of letters, runs of anything else, each with the spaces before it, and runs of ``lone``: no piece spans two of them.
+
+        A letter that some piece joins to another kind of character counts as one of that kind.
+        """
+        letter, others = re.compile(r"[^\W\d_]").match, ""
+        pairs = [(a, b) for a, b in self.joint if a != SPACE]
+        while mixed := {a if letter(a) else b for a, b in pairs if bool(letter(a)) != bool(letter(b))}:
+            others += re.escape("".join(sorted(mixed)))
+            letter = re.compile(rf"[^\W\d_{others}]").match
         lone = re.escape(self.lone)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]+" if lone else "")).findall
-        self._codes = _Memo(self._word)
-        self._parts = _Memo(lambda s: np.array([i for t in self.automaton.path(s) for i in self.ids_of(t)], np.int32).tobytes())
+        return rf"{SPACE}*[^\W\d_{others}]+|{SPACE}*(?:[^\w{SPACE}{lone}]+|[\d_{others}]+)+|{SPACE}+" + (f"|[{lone}]+" if lone else "")
 
     def ids_of(self, token: str) -> list[int]:
         """The ids of a piece, or the byte pieces of a character that isn't one."""
@@ -84,9 +97,22 @@ class Pieces:
         joint = self.joint
         return [i for i, pair in enumerate(zip(s, s[1:], strict=False), 1) if pair not in joint]
 
+    def _part(self, part: str) -> bytes:
+        out, id_of = array("i"), self.id_of
+        for token in self.automaton.path(part):
+            got = id_of.get(token)
+            if got is not None:
+                out.append(got)
+            else:
+                out.extend(self.ids_of(token))
+        return out.tobytes()
+
     def _word(self, word: str) -> bytes:
+        cuts = self.cuts(word)
+        if not cuts:
+            return self._part(word)
         at, out = 0, []
-        for cut in [*self.cuts(word), len(word)]:
+        for cut in [*cuts, len(word)]:
             out.append(self._parts[word[at:cut]])
             at = cut
         return b"".join(out)
@@ -189,12 +215,12 @@ class Pieces:
 class _Memo(dict):
     """A cache of a function's results, bounded by the characters of its keys."""
 
-    def __init__(self, f: Callable) -> None:
+    def __init__(self, f: Callable, most: int) -> None:
         super().__init__()
-        self.f, self.held = f, 0
+        self.f, self.most, self.held = f, most, 0
 
     def __missing__(self, key):
-        if self.held > CACHE_SIZE:
+        if self.held > self.most:
             self.clear()
             self.held = 0
         self.held += len(key) + 256

@@ -234,3 +234,17 @@ def test_what_sql_can_say(spark, name):
         rows = want.fetchall()
     got = getattr(queries, name)(spark, SF).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+
+
+def test_pairs_are_judged_as_plain_merging_judges_them():
+    """Merging both sides in step and looking at the border, against merging the whole, for tied and for rising ranks."""
+    from grovekit.llm.bpe_automaton import Automaton
+
+    rnd = random.Random(11)
+    for _ in range(60):
+        tokens = {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 5))) for _ in range(12)}
+        rank = {t: rnd.randint(0, 6) for t in tokens}
+        automaton = Automaton(tokens, lambda joined, _, rank=rank: rank.get(joined))
+        for left in [*tokens, "a"]:
+            for right in [*tokens, "b"]:
+                assert automaton._apart(left, right) == (automaton.merged(left + right) == [left, right])
