@@ -518,4 +518,170 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     return search.matches(lifts.doc_files(spark, d), "License").select("path", F.col("line").cast("bigint").alias("line"), "text")
 
 
+# The query API, review metadata and text functions over whole tables.
+
+
+def _doc_repository(spark: SparkSession, d: str) -> query.Repository:
+    """One commit of the document tree, which the reference ``main`` names."""
+    commits = spark.sql("SELECT 'r' AS repo, 'c1' AS commit_id, 'docs' AS tree, array('c0') AS parents, struct('N' AS name, 'n@example.com' AS email, 86400L AS ts) AS author, 'one\\ntwo' AS message UNION ALL SELECT 'r', 'c0', 'none', array(), struct('N', 'n@example.com', 0L), 'zero'")
+    references = spark.sql("SELECT 'refs/heads/main' AS name, 'c1' AS oid")
+    return query.Repository(commits, lifts.doc_files(spark, d), references)
+
+
+@_add("rev_tree", f"WITH {SQL_DOCS} SELECT 'x/' || substr(path, 4) AS path, oid FROM d WHERE starts_with(path, 'en/')")
+def _rev_tree(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_repository(spark, d).rev("main", ":/en:prefix=x").tree().select("path", "oid")
+
+
+@_add("rev_of_rev", f"WITH {SQL_DOCS} SELECT substr(path, 4) AS path FROM d WHERE starts_with(path, 'de/')")
+def _rev_of_rev(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_repository(spark, d).rev("c1", ":/en").rev(":/de").files().select("path")
+
+
+@_add("rev_file", f"WITH {SQL_DOCS} SELECT path, content FROM d WHERE path = 'en/src1/doc_1.txt'")
+def _rev_file(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_repository(spark, d).rev("main").file("en/src1/doc_1.txt").select("path", "content")
+
+
+@_add("rev_described", "SELECT 'c1' AS hash, 'n@example.com' AS author_email, 'one' AS summary, 'one' || chr(10) || 'two' AS message, '1970-01-02' AS date")
+def _rev_described(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_repository(spark, d).rev("main").described()
+
+
+@_add("rev_changed_files", f"WITH {SQL_DOCS} SELECT substr(path, 4) AS path, 1 AS change FROM d WHERE starts_with(path, 'fr/')")
+def _rev_changed(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_repository(spark, d).rev("main", ":/fr").changed_files()
+
+
+_SRC1 = "SELECT sha1(unhex(upper(hex(encode('tree ' || sum(strlen(name) + 28)))) || '00' || string_agg(hex(encode('100644 ' || name)) || '00' || upper(oid), '' ORDER BY name))) AS id FROM (SELECT oid, split_part(path, '/', 3) AS name FROM d WHERE starts_with(path, 'en/src1/'))"
+_view("tree_id_filter", ":#ids/en[:/en/src1]", f", t AS ({_SRC1}) SELECT 'ids/en' AS path, sha1('blob 40' || chr(0) || id) AS oid FROM t WHERE id IS NOT NULL")
+
+
+def _en_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of the tree below en/src1 (oid, path, mode, leaf_oid, content), by the tree's id."""
+    below = trees.apply(":/en/src1", lifts.doc_files(spark, d))
+    ids = trees.root_ids(below).withColumnRenamed("oid", "id")
+    return below.join(ids, "tree_id").select(F.col("id").alias("oid"), "path", "mode", F.col("oid").alias("leaf_oid"), "content")
+
+
+@_add("object_deref", f"WITH {SQL_DOCS} SELECT path, oid FROM d WHERE starts_with(path, 'en/src1/')")
+def _object_deref(spark: SparkSession, d: str) -> DataFrame:
+    return trees.apply(":&en/src1:#en/src1", lifts.doc_files(spark, d), trees.Env(objects=_en_objects(spark, d))).select("path", "oid")
+
+
+@_add("link_files", f"WITH {SQL_DOCS}, l AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), f AS (SELECT lang, 'remote = \"x\"' || chr(10) || 'commit = \"' || sha1(lang) || '\"' || chr(10) || 'filter = \":/src1\"' || chr(10) AS c FROM l) SELECT 'l/' || lang || '/.link.filter' AS path, sha1('blob ' || strlen(c) || chr(0) || c) AS oid FROM f UNION ALL SELECT 'l/' || split_part(path, '/', 1) || '/' || split_part(path, '/', 3), oid FROM d WHERE split_part(path, '/', 2) = 'src1'")
+def _link_files(spark: SparkSession, d: str) -> DataFrame:
+    """A link for each language, whose commit is the tree of that language and whose filter shows one source of it."""
+    files = lifts.doc_files(spark, d)
+    lang = F.split("path", "/")[0]
+    objects = files.select(F.sha1(F.encode(lang, "UTF-8")).alias("oid"), F.expr("substring(path, instr(path, '/') + 1)").alias("path"), "mode", F.col("oid").alias("leaf_oid"), "content")
+    content = F.format_string('remote = "x"\ncommit = "%s"\nfilter = ":/src1"\n', F.sha1(F.encode("lang", "UTF-8")))
+    links = files.select(lang.alias("lang")).distinct().select(F.lit("t").alias("tree_id"), F.concat(F.lit("l/"), "lang", F.lit("/.link.filter")).alias("path"), F.lit(hashes.BLOB).alias("mode"), hashes.blob_id(content).alias("oid"), content.alias("content"))
+    return trees.apply(":link", links, trees.Env(objects=objects)).select("path", "oid")
+
+
+@_add("adapt_submodules", "SELECT 'm/' || n_name || '/.link.filter' AS path, 'remote = \"https://example.com/' || n_nationkey || '\"' || chr(10) || 'commit = \"' || sha1(n_name) || '\"' || chr(10) || 'filter = \":/\"' || chr(10) AS content FROM nation UNION ALL SELECT 'kept', 'k'")
+def _adapt(spark: SparkSession, d: str) -> DataFrame:
+    """A tree with a submodule for each nation."""
+    nations = read_table(spark, d, "nation")
+    modules = nations.select(F.concat(F.lit('[submodule "'), "n_name", F.lit('"]\n\tpath = m/'), "n_name", F.lit("\n\turl = https://example.com/"), "n_nationkey", F.lit("\n")).alias("m"))
+    text_ = modules.agg(F.array_join(F.array_sort(F.collect_list("m")), "").alias("content")).select(F.lit(".gitmodules").alias("path"), F.lit(hashes.BLOB).alias("mode"), "content")
+    pinned = nations.select(F.concat(F.lit("m/"), "n_name").alias("path"), F.lit(hashes.GITLINK).alias("mode"), F.col("n_name").alias("content"))
+    rows = text_.unionByName(pinned).unionByName(spark.range(1).select(F.lit("kept").alias("path"), F.lit(hashes.BLOB).alias("mode"), F.lit("k").alias("content")))
+    oid = F.when(F.col("mode") == hashes.GITLINK, F.sha1(F.encode("content", "UTF-8"))).otherwise(hashes.blob_id(F.col("content")))
+    return trees.apply(":adapt=submodules", rows.select(F.lit("t").alias("tree_id"), "path", "mode", oid.alias("oid"), "content")).select("path", "content")
+
+
+def _customer_commits(spark: SparkSession, d: str) -> DataFrame:
+    message = F.concat(F.lit("Title\n\nChange: c"), "c_custkey", F.lit("\nChange-Series: "), "c_mktsegment")
+    return read_table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("repo"), F.concat(F.lit("k"), "c_custkey").alias("commit_id"), F.when(F.col("c_custkey") % 3 != 0, message).otherwise("Title").alias("message"))
+
+
+@_add("changes_of_commits", "SELECT CAST(c_nationkey AS VARCHAR) AS repo, 'k' || c_custkey AS commit_id, 'c' || c_custkey AS change_id, c_mktsegment AS series FROM customer WHERE c_custkey % 3 <> 0")
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    return changes.changes(_customer_commits(spark, d)).withColumn("series", F.col("series")[0])
+
+
+@_add("resolve_names", "SELECT 'c' || c_custkey AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'k' || c_custkey END AS commit_id FROM customer UNION ALL SELECT 'k' || c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'k' || c_custkey END FROM customer UNION ALL SELECT 'refs/heads/' || n_name, 'k' || n_nationkey FROM nation")
+def _resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are change ids, commits without and with a change, and references."""
+    commits, nations = _customer_commits(spark, d), read_table(spark, d, "nation")
+    refs = nations.select(F.concat(F.lit("refs/heads/"), "n_name").alias("name"), F.concat(F.lit("k"), "n_nationkey").alias("oid"))
+    key = F.expr("substring(commit_id, 2)")
+    wanted = commits.select(F.concat(F.lit("c"), key).alias("name")).unionByName(commits.select(F.col("commit_id").alias("name"))).unionByName(refs.select("name"))
+    return changes.resolve(wanted, changes.changes(commits), refs)
+
+
+@_add("stacked_refs", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE ['changes', 'base', 'heads'][c_custkey % 4] END AS kind, CASE WHEN c_custkey % 4 <> 0 THEN 'main' END AS scope, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS author, CASE WHEN c_custkey % 4 <> 0 THEN 'a/' || c_custkey END AS id FROM customer")
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("c_custkey") % 4 == 0, "other").otherwise(F.expr("array('changes', 'base', 'heads')[c_custkey % 4 - 1]"))
+    name = F.concat(F.lit("refs/heads/@"), kind, F.lit("/main/"), "c_mktsegment", F.lit("/a/"), "c_custkey")
+    return read_table(spark, d, "customer").select("c_custkey", changes.parsed_ref(name).alias("p")).select("c_custkey", "p.*")
+
+
+@_add("gerrit_ids", "SELECT doc_id, 'I' || sha1('blob ' || strlen(text) || chr(0) || text) AS id FROM documents")
+def _gerrit(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", changes.gerrit_id(F.col("text")).alias("id"))
+
+
+@_add("typed_events", "SELECT CAST(user_id AS VARCHAR) AS change, CASE WHEN event_id % 2 = 0 THEN 'check' ELSE 'review' END AS kind, event_type AS name, CASE WHEN event_id % 4 = 0 THEN 'success' WHEN event_id % 2 = 0 THEN 'pending' WHEN event_id % 3 = 0 THEN 'dismissed' ELSE 'approved' END AS state FROM events WHERE event_id % 5 <> 0")
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """Events as texts that a webhook might send; every fifth is of a kind that admission ignores."""
+    n = F.col("event_id")
+    run = F.struct(F.col("event_type").alias("name"), F.when(n % 4 == 0, "success").alias("conclusion"))
+    review = F.struct(F.lit("APPROVED").alias("state"), F.struct(F.col("event_type").alias("login")).alias("user"))
+    body = F.struct(F.when(n % 3 == 0, "dismissed").otherwise("submitted").alias("action"), F.col("user_id").alias("number"), F.when((n % 5 != 0) & (n % 2 == 0), run).alias("check_run"), F.when((n % 5 != 0) & (n % 2 != 0), review).alias("review"))
+    return admission.typed(read_table(spark, d, "events").select(F.to_json(body).alias("value")))
+
+
+@_add("windowed_events", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _windowed(spark: SparkSession, d: str) -> DataFrame:
+    counted = admission.windowed(read_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_type", "n")
+
+
+@_add("normal_paths", "SELECT event_id, event_type || '/' || event_id AS path, event_type || '%2F' || event_id AS name FROM events")
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("./"), "event_type", F.lit("//x/../"), "event_id", F.lit("/."))
+    return read_table(spark, d, "events").select("event_id", text.normal_path(path).alias("path"), text.safe_name(F.concat_ws("/", "event_type", "event_id")).alias("name"))
+
+
+@_add("percent_encoded", "SELECT p_partkey, url_encode(p_type || '/' || p_name || '~') AS encoded FROM part")
+def _percent(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "part").select("p_partkey", text.percent_encoded(F.concat("p_type", F.lit("/"), "p_name", F.lit("~"))).alias("encoded"))
+
+
+@_add("rfc3339_seconds", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - 5400 AS seconds FROM events")
+def _rfc3339(spark: SparkSession, d: str) -> DataFrame:
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30"))
+    return read_table(spark, d, "events").select("event_id", text.rfc3339_seconds(stamp).alias("seconds"))
+
+
+@_add("toml_pointer", "SELECT n_nationkey, n_name AS name, n_regionkey AS region FROM nation")
+def _toml(spark: SparkSession, d: str) -> DataFrame:
+    content = F.format_string('name = "%s"\n[at]\nregion = %d\n', "n_name", F.col("n_regionkey").cast("int"))
+    read = documents.parsed(documents.json_of_toml(content))
+    return read_table(spark, d, "nation").select("n_nationkey", documents.string(read, "/name").alias("name"), documents.integer(read, "/at/region").alias("region"))
+
+
+def _turn_views(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as lines of commits of which each two turns show the same, simplified."""
+    c = lifts.conv_commits(spark, d).withColumns({"tree": F.col("commit_id"), "view": F.concat(F.lit("v"), F.floor(F.col("turn") / 2))})
+    return c.select("repo", "commit_id", "turn", "parents").join(history.simplify(c), ["repo", "commit_id"])
+
+
+@_add("history_first_parents", "WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS repo, conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS top FROM conversations) SELECT repo, top AS last_turn, CAST(top // 2 - turn // 2 AS BIGINT) AS place, conv_id || '-' || turn AS commit_id FROM t WHERE turn % 2 = 0")
+def _first_parents(spark: SparkSession, d: str) -> DataFrame:
+    """The simplified history of each conversation, from its last turn back."""
+    v = _turn_views(spark, d)
+    v = v.withColumn("top", F.max("turn").over(Window.partitionBy("repo")))
+    line = history.first_parents(v, F.col("turn") == F.col("top"))
+    return line.join(v.select("repo", F.col("commit_id").alias("start"), F.col("turn").alias("last_turn")), ["repo", "start"]).select("repo", "last_turn", "place", "commit_id")
+
+
+@_add("squash_all", "SELECT CAST(conv_id AS VARCHAR) AS repo, conv_id || '-' || turn AS commit_id, 0 AS parents FROM conversations")
+def _squash_all(spark: SparkSession, d: str) -> DataFrame:
+    return history.squash_all(lifts.conv_commits(spark, d)).select("repo", "commit_id", F.size("parents").alias("parents"))
+
+
 __all__ = ["entry_query", "oracle_sql", "queries", "rewrite"]

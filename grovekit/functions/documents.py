@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import tomllib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,19 @@ def parsed(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("{}")))
 
 
+def _toml_as_json(text: str | None) -> str:
+    try:
+        return json.dumps(tomllib.loads(text or ""), default=str)
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return "{}"
+
+
+def json_of_toml(text: Column) -> Column:
+    """A TOML document as JSON text, times as text; ``{}`` where it can't be read. Files are read in Arrow batches."""
+    read = F.pandas_udf(lambda texts: texts.map(_toml_as_json), "string")
+    return read(F.coalesce(text, F.lit("")))
+
+
 def _at(document: Column, pointer: str, kind: str) -> Column:
     return F.try_variant_get(document, json_path(pointer), kind)
 

@@ -75,6 +75,17 @@ def safe_name(name: Column) -> Column:
     return F.replace(name, F.lit("/"), F.lit("%2F"))
 
 
+def percent_encoded(text: Column) -> Column:
+    """All but letters, digits and ``-_.~`` as bytes in percent form."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def rfc3339_seconds(stamp: Column) -> Column:
+    """Seconds since 1970 of a time with its offset; null where it can't be read or has none."""
+    has_offset = stamp.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    return F.when(has_offset, F.unix_seconds(F.try_to_timestamp(F.upper(stamp))))
+
+
 def ref_matches(name: Column, pattern: str) -> Column:
     """Names of references by a glob whose ``*`` crosses slashes."""
     import re

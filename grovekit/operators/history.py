@@ -202,6 +202,20 @@ def simplify_linear(commits: DataFrame, order: list[str]) -> DataFrame:
     return marked.withColumn("mapped", F.last(F.when(F.col("kept"), F.col("commit_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def first_parents(viewed: DataFrame, is_start: Column) -> DataFrame:
+    """(repo, start, place, commit_id): what ``simplify`` keeps along first parents, from each start's image (place 0) on."""
+
+    def work(rows: dict, order: list) -> Iterable[tuple]:
+        for start in order:
+            at, place = rows[start]["mapped"] if rows[start]["is_start"] else None, 0
+            while at in rows:
+                yield rows[start]["repo"], start, place, at
+                before = rows[at]["view_parents"]
+                at, place = (before[0] if len(before) else None), place + 1
+
+    return fold(viewed.withColumn("is_start", is_start), ["mapped", "view_parents", "is_start"], "repo string, start string, place long, commit_id string", work)
+
+
 def squash(commits: DataFrame, keep: Column) -> DataFrame:
     """Only the kept commits: (repo, commit_id, view_parents), each parent the nearest kept one on the first-parent way."""
 

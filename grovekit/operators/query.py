@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import documents, hashes, text
 
+from . import history, setops, trees, views
 from . import search as _search
-from . import setops, trees
 
 
 @dataclass
@@ -45,12 +45,42 @@ class Revision:
         mine = self.repository.files.join(self._commit().select(F.col("tree").alias("tree_id")), "tree_id", "left_semi")
         return trees.apply(self.filter, mine, self.repository.env)
 
+    def viewed(self) -> DataFrame:
+        """The repository's commits seen through the filter; see ``views.apply``."""
+        return views.apply(self.filter, self.repository.commits, self.repository.files, self.repository.env)
+
+    def _image(self, viewed: DataFrame) -> DataFrame:
+        """The commit that shows what this one shows: itself, or the one it is simplified to."""
+        at = viewed.where(F.col("commit_id") == self.commit).select("repo", F.col("mapped").alias("commit_id"))
+        return viewed.join(at, ["repo", "commit_id"])
+
     def described(self, form: str = "%Y-%m-%d") -> DataFrame:
+        """The filtered commit's hash (its id as written where the written identities are known), author, message and date."""
         c = self._commit()
+        if self.filter != ":/":
+            viewed = self.viewed()
+            c = self._image(viewed)
+            if {"author_line", "committer_line"} <= set(viewed.columns):
+                c = c.join(views.commit_ids(viewed), ["repo", "commit_id"]).withColumn("commit_id", F.col("view_id"))
         return c.select(F.col("commit_id").alias("hash"), F.col("author.email").alias("author_email"), text.summary(F.col("message")).alias("summary"), "message", text.strftime(F.col("author.ts"), form).alias("date"))
 
-    def rev(self, filter: str) -> Revision:
-        return Revision(self.repository, self.commit, filter)
+    def rev(self, filter: str = ":/", original: bool = False) -> Revision:
+        """The same commit through another filter; with ``original`` the commit that made what this one shows."""
+        if not original:
+            return Revision(self.repository, self.commit, filter)
+        found = self.viewed().where(F.col("commit_id") == self.commit).select("mapped").first()
+        if found is None or not found.mapped:
+            raise ValueError(f"{self.filter} shows nothing of {self.commit}")
+        return Revision(self.repository, found.mapped, filter)
+
+    def parents(self) -> DataFrame:
+        """(place, commit_id): the originals of the filtered commit's parents."""
+        return self._image(self.viewed()).select(F.posexplode("view_parents").alias("place", "commit_id"))
+
+    def history(self, limit: int = 1, offset: int = 0) -> DataFrame:
+        """(place, commit_id): a stretch of the filtered first parents, as originals, this commit's being at place 0."""
+        line = history.first_parents(self.viewed(), F.col("commit_id") == self.commit)
+        return line.where((F.col("place") >= offset) & (F.col("place") < offset + limit)).select("place", "commit_id")
 
     def files(self, at: str = "", depth: int | None = None) -> DataFrame:
         return listing(self.tree(), at, depth)
@@ -61,9 +91,13 @@ class Revision:
     def file(self, path: str) -> DataFrame:
         return self.tree().where(F.col("path") == path)
 
+    def dir(self, path: str) -> DataFrame:
+        """The files below a directory; none where there is no such directory."""
+        return self.files(path) if path else self.tree()
+
     def changed_files(self) -> DataFrame:
         """(path, change) against the filtered first parent."""
-        first = self._commit().select(F.col("parents")[0].alias("commit_id")).join(self.repository.commits, "commit_id").select(F.col("tree").alias("tree_id"))
+        first = self._commit().select(F.get("parents", F.lit(0)).alias("commit_id")).join(self.repository.commits, "commit_id").select(F.col("tree").alias("tree_id"))
         before = trees.apply(self.filter, self.repository.files.join(first, "tree_id", "left_semi"), self.repository.env)
         same = lambda df: df.withColumn("tree_id", F.lit(""))
         return setops.diff(same(before), same(self.tree())).select("path", "change")
