@@ -71,7 +71,7 @@ class Pieces:
         self.joint = joint
         self.lone = "".join(c for c in "\n\r\t" if not any(c in pair for pair in joint))
         self.words = re.compile(self._word_pattern()).findall
-        self._codes = _Memo(self._word, 7 * CACHE_SIZE // 4)
+        self._codes = _Memo(self._word, 3 * CACHE_SIZE // 2)
         self._parts = _Memo(self._part, CACHE_SIZE // 4)
 
     def _word_pattern(self) -> str:
