@@ -11,6 +11,8 @@ import hashlib
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from grovekit.plans import rewrite
 from grovekit.plans.nodes import NOP, FilterError, Node
 from grovekit.plans.parser import parse
 
-from . import history, setops, trees
+from . import graphs, history, setops, trees
 
 
 def _split(f: Node) -> tuple[dict, list[Node]]:
@@ -117,17 +119,19 @@ def commit_ids(viewed: DataFrame) -> DataFrame:
     Needs ``view``, ``kept``, ``view_parents``, the written identities ``author_line`` and ``committer_line``, and message.
     """
 
-    def work(rows: dict, order: list) -> Iterable[tuple]:
+    def work(g: graphs.Graph) -> Iterable[list]:
+        kept, views, lists, *texts = g.flags("kept"), *(g.column(c).combine_chunks() for c in ("view", "view_parents", "author_line", "committer_line", "message"))
         made: dict = {}
-        for c in order:
-            r = rows[c]
-            if r["kept"]:
-                lines = [f"tree {r['view'] or EMPTY_TREE_ID}", *(f"parent {made[p]}" for p in r["view_parents"]), f"author {r['author_line']}", f"committer {r['committer_line']}"]
-                body = ("\n".join(lines) + "\n\n" + r["message"]).encode()
-                made[c] = hashlib.sha1(b"commit %d\0" % len(body) + body).hexdigest()
-                yield r["repo"], c, made[c]
-
-    return history.fold(viewed, ["view", "kept", "view_parents", "author_line", "committer_line", "message"], "repo string, commit_id string, view_id string", work)
+        for c in g.order:
+            if kept[c]:
+                author, committer, message = (x[c].as_py() for x in texts)
+                lines = [f"tree {views[c].as_py() or EMPTY_TREE_ID}", *(f"parent {made[g.codes[c].as_py(), p].hex()}" for p in lists[c].as_py()), f"author {author}", f"committer {committer}"]
+                body = ("\n".join(lines) + "\n\n" + message).encode()
+                made[g.codes[c].as_py(), g.ids[c].as_py()] = hashlib.sha1(b"commit %d\0" % len(body) + body).digest()
+        for x in graphs.chunks(np.flatnonzero(np.frombuffer(kept, np.uint8))):
+            yield [g.repos(x), g.named(x), pa.array([made[g.codes[c].as_py(), g.ids[c].as_py()].hex() for c in x.tolist()])]
+
+    return graphs.fold(viewed, ["view", "kept", "view_parents", "author_line", "committer_line", "message"], "repo string, commit_id string, view_id string", work)
 
 
 #: The id of a tree without entries, and that of no object.
