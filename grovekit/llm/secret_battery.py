@@ -80,6 +80,8 @@ _FOLLOWS = ((0.79, 0.07, 0.03, 0.11), (0.66, 0.22, 0.03, 0.09), (0.12, 0.08, 0.5
 
 #: Tokens drawn for a null distribution, of each kind; candidates of 20 to 256 characters have classes of lengths.
 DRAWS = 10_000
+#: Drawn tokens that are judged at once, which bounds memory; results don't depend on it.
+PIECE = 1000
 LENGTHS = (20, 22, 24, 26, 28, 30, 32, 36, 40, 48, 56, 64, 80, 96, 128, 192, 256)
 
 
@@ -131,12 +133,12 @@ class Words:
         self.groups = self.place if len(self.classes) > 1 else (np.arange(len(symbols)) >= len(symbols) / 2).astype(np.int64)
 
     def draw(self, m: int, n: int, rng: np.random.Generator) -> np.ndarray:
-        at = np.empty((m, n), np.int64)
+        at = np.empty((m, n), np.uint8)
         at[:, 0] = rng.integers(0, len(self.classes), m)
         upto = self.follows.cumsum(1)
         for i in range(1, n):
             at[:, i] = np.minimum((rng.random(m)[:, None] > upto[at[:, i - 1]]).sum(1), len(self.classes) - 1)
-        out = np.empty((m, n), np.int64)
+        out = np.empty((m, n), np.uint8)
         for c in range(len(self.classes)):
             mine = np.flatnonzero(self.place == c)
             hit = at == c
@@ -162,15 +164,16 @@ def null(symbols: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         kept, tried, got = [], 0, 0
         while got < DRAWS and tried < 50 * DRAWS:
             v = draw(DRAWS)
-            v = v[words.narrowest(v, _NEEDS[symbols])]
+            v = v[words.narrowest(v, _NEEDS[symbols])].astype(np.uint8)
             kept.append(v)
             tried, got = tried + DRAWS, got + len(v)
         drawn.append(np.concatenate(kept)[:DRAWS])
         passed.append(max(got, 1) / tried)
     both, (m_words, m_random) = np.concatenate(drawn), map(len, drawn)
-    log_w, log_u = words.log_p(both) - math.log(passed[0]), -n * math.log(k) - math.log(passed[1])
+    pieces = [both[i : i + PIECE] for i in range(0, len(both), PIECE)]
+    log_w, log_u = np.concatenate([words.log_p(x) for x in pieces]) - math.log(passed[0]), -n * math.log(k) - math.log(passed[1])
     weight = 1 / (np.exp(np.minimum(log_u - log_w, 700)) * m_random + m_words)
-    found = surprises(p_values(both, words.groups))
+    found = surprises(np.concatenate([p_values(x.astype(np.int64), words.groups) for x in pieces]))
     a, b = found[:m_words], found[m_words:]
     spread = sum(np.cov(x.T) for x in (a, b) if len(x) > 3) + 1e-6 * np.eye(3)
     weighed = np.linalg.solve(spread, a.mean(0) - b.mean(0)) if len(a) and len(b) else np.ones(3)
