@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 CHUNK = 20_000
 #: Rows up to which whole repositories are gathered in one graph.
 TOGETHER = 20_000
+#: Ids that are hashed or looked up at a time.
+STEP = 1 << 14
 #: Bytes that the sets of roots of one pass may take.
 SET_BYTES = 48 << 20
 
@@ -62,6 +64,11 @@ def numbers(x: np.ndarray) -> array:
     return out
 
 
+def bits_of(x: int) -> int:
+    """A set from its packed form."""
+    return x if x >= 0 else 1 << ~x
+
+
 class Graph:
     """Commits 0 to n - 1, by repository and id; ``parents[starts[c]:starts[c + 1]]`` are those of commit c that are in the table."""
 
@@ -69,49 +76,97 @@ class Graph:
         names = table.column_names
         repo = table.column(0).combine_chunks().dictionary_encode("encode")
         repo = repo.combine_chunks() if isinstance(repo, pa.ChunkedArray) else repo
+        codes, self._names = repo.indices, repo.dictionary
         ids = table.column("commit_id").cast(pa.large_string()).combine_chunks()
-        one = len(repo.dictionary) == 1
-        by = pc.sort_indices(pa.table({"r": repo.indices, "c": ids}), sort_keys=[("r", "ascending"), ("c", "ascending")])
-        codes, ids = repo.indices.take(by), ids.take(by)
-        keys = self._keys(codes, ids, one)
-        twice = pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)) if len(keys) > 1 else pa.array([], pa.bool_())
+        before, after = (codes.slice(0, len(codes) - 1), ids.slice(0, len(ids) - 1)), (codes.slice(1), ids.slice(1))
+        if not pc.all(pc.or_(pc.greater(after[0], before[0]), pc.and_(pc.equal(after[0], before[0]), pc.greater_equal(after[1], before[1]))), skip_nulls=False).as_py():
+            by = pc.sort_indices(pa.table({"r": codes, "c": ids}), sort_keys=[("r", "ascending"), ("c", "ascending")])
+            table, codes, ids = table.take(by), codes.take(by), ids.take(by)
+            before, after = (codes.slice(0, len(codes) - 1), ids.slice(0, len(ids) - 1)), (codes.slice(1), ids.slice(1))
+        twice = pc.and_(pc.equal(after[0], before[0]), pc.equal(after[1], before[1]))
         if pc.any(twice).as_py():  # of repeated commits one row stays
             last = pa.array(np.append(~twice.fill_null(False).to_numpy(zero_copy_only=False), True))
-            by, codes, ids, keys = (x.filter(last) for x in (by, codes, ids, keys))
-        self.n, self.ids, self.codes, self.one, self.keys = len(ids), ids, codes, one, keys
-        self._names, self._columns = repo.dictionary, {c: table.column(c).take(by) for c in names[3:]}
-        lists = table.column("parents").take(by).combine_chunks()
-        of = pc.list_parent_indices(lists).cast(pa.int64()).to_numpy()
-        at = self._place(np.asarray(of), pc.list_flatten(lists).cast(pa.large_string()))
-        here = at >= 0
-        self.starts = numbers(np.concatenate(([0], np.cumsum(np.bincount(of[here], minlength=self.n)))))
-        self.parents = numbers(at[here])
-
-    @staticmethod
-    def _keys(codes: pa.Array, ids: pa.Array, one: bool) -> pa.Array:
-        return ids if one else pc.binary_join_element_wise(codes.cast(pa.large_string()), ids, pa.scalar("/", pa.large_string()))
-
-    def _place(self, of: np.ndarray, ids: pa.Array) -> np.ndarray:
-        """Numbers of the commits ``ids`` in the repositories of the commits ``of``, -1 where there is none."""
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        found = pc.index_in(self._keys(self.codes.take(pa.array(of)), ids, self.one), self.keys, skip_nulls=True)
-        return found.fill_null(-1).to_numpy(zero_copy_only=False)
-
-    def column(self, name: str) -> pa.ChunkedArray:
+            table, codes, ids = table.filter(last), codes.filter(last), ids.filter(last)
+        del before, after, twice, repo
+        self.n, self.ids, self.codes = len(ids), ids, codes
+        index, at, counts, first = self._index(), array("i"), [np.zeros(1, np.int64)], 0
+        for lists in table.column("parents").chunks:
+            of = np.asarray(pc.list_parent_indices(lists).cast(pa.int64()))
+            found = self._place(index, of + first, pc.list_flatten(lists).cast(pa.large_string()))
+            at.frombytes(found[found >= 0].tobytes())
+            counts.append(np.bincount(of[found >= 0], minlength=len(lists)))
+            first += len(lists)
+        del index
+        self.starts, self.parents = numbers(np.cumsum(np.concatenate(counts))), at
+        self._columns = {c: table.column(c).combine_chunks() for c in names[3:]}  # copies: the batches that rows came in are freed
+
+    def _hashes(self, ids: pa.Array, codes: np.ndarray) -> np.ndarray:
+        """A number for each id of a repository; equal ids have equal numbers, others hardly ever."""
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        offsets = offsets - offsets[0]
+        sizes = np.diff(offsets)
+        powers = np.cumprod(np.full(int(sizes.max(initial=0)), 0x9E3779B97F4A7C15, np.uint64))
+        data += np.uint64(1)
+        data *= powers[np.arange(len(data)) - np.repeat(offsets[:-1], sizes)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data)))
+        out = sums[offsets[1:]] - sums[offsets[:-1]] + codes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(32)
+        return out * np.uint64(0xFF51AFD7ED558CCD)
+
+    def _index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The commits' hashes in order, and whose they are."""
+        codes, hashes = self.codes.to_numpy(), np.empty(self.n, np.uint64)
+        for i in range(0, self.n, STEP):
+            hashes[i : i + STEP] = self._hashes(self.ids.slice(i, STEP), codes[i : i + STEP])
+        order = np.argsort(hashes).astype(np.int32)
+        return hashes[order], order
+
+    def _place(self, index: tuple[np.ndarray, np.ndarray], of: np.ndarray, ids: pa.Array) -> np.ndarray:
+        """Numbers of the commits ``ids`` in the repositories of the commits ``of``, -1 where there is none. Hashes find them, ids are compared."""
+        hashes, order = index
+        codes, out = self.codes.to_numpy(), np.full(len(ids), -1, np.int32)
+        for i in range(0, len(ids), STEP):
+            asked, mine = ids.slice(i, STEP), codes[of[i : i + STEP]]
+            want = self._hashes(asked, mine)
+            at, left = np.searchsorted(hashes, want), np.arange(len(asked))
+            while len(left := left[(at[left] < self.n) & (hashes[np.minimum(at[left], self.n - 1)] == want[left])]):
+                c = order[at[left]]
+                same = pc.equal(self.ids.take(pa.array(c)), asked.take(pa.array(left))).fill_null(False).to_numpy(zero_copy_only=False) & (codes[c] == mine[left])
+                out[i + left[same]] = c[same]
+                left = left[~same]
+                at[left] += 1
+        return out
+
+    def column(self, name: str) -> pa.Array:
         return self._columns[name]
 
     def flags(self, name: str) -> bytes:
         """A boolean column, a byte for each commit; null counts as false."""
-        return self.column(name).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+        return self.column(name).fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
 
     def encoded(self, name: str, value: str) -> tuple[array, int]:
         """A text column as numbers, equal for equal texts, and the number of ``value`` (-2 if it is nowhere)."""
-        x = self.column(name).combine_chunks().dictionary_encode("encode")
+        x = self.column(name).dictionary_encode("encode")
         return numbers(x.indices.to_numpy()), next(iter(pc.indices_nonzero(pc.equal(x.dictionary, value)).to_pylist()), -2)
 
+    def empty(self, name: str) -> bytes:
+        """Whether a text column is empty, a byte for each commit; null is not."""
+        return pc.equal(self.column(name), "").fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+
+    def as_parent(self, name: str) -> bytearray:
+        """A byte for each of ``parents``: whether a column has the same value there as in the commit itself, null being one."""
+        x, parents, out = self.column(name), np.frombuffer(self.parents, np.int32), bytearray()
+        of = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(np.frombuffer(self.starts, np.int32)))
+        for i in range(0, len(parents), STEP):
+            a, b = x.take(pa.array(parents[i : i + STEP])), x.take(pa.array(of[i : i + STEP]))
+            same = pc.or_(pc.equal(a, b).fill_null(False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            out += same.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+        return out
+
     def found(self, name: str) -> array:
         """A column of ids of the same repository as numbers, -1 where there is none."""
-        return numbers(self._place(np.arange(self.n), self.column(name).combine_chunks().cast(pa.large_string())))
+        return numbers(self._place(self._index(), np.arange(self.n), self.column(name).cast(pa.large_string())))
 
     def named(self, of: np.ndarray | list | array) -> pa.Array:
         """Ids of commits; -1 is null."""
@@ -141,8 +196,8 @@ class Graph:
                     for k in range(starts[x + 1] - 1, starts[x] - 1, -1):
                         if not done[parents[k]]:
                             stack.append(parents[k])
-        place = np.empty(self.n, np.int64)
-        place[np.frombuffer(out, np.int32)] = np.arange(self.n)
+        place = np.empty(self.n, np.int32)
+        place[np.frombuffer(out, np.int32)] = np.arange(self.n, dtype=np.int32)
         if (place[np.frombuffer(self.parents, np.int32)] >= np.repeat(place, np.diff(np.frombuffer(self.starts, np.int32)))).any():
             raise ValueError("a commit is its own ancestor")
         return out
@@ -167,9 +222,9 @@ class Graph:
     @cached_property
     def last_use(self) -> array:
         """The place in ``levels`` of each commit's last child, -1 where there is none."""
-        place = np.empty(self.n, np.int64)
-        place[np.frombuffer(self.levels, np.int32)] = np.arange(self.n)
-        last = np.full(self.n, -1, np.int64)
+        place = np.empty(self.n, np.int32)
+        place[np.frombuffer(self.levels, np.int32)] = np.arange(self.n, dtype=np.int32)
+        last = np.full(self.n, -1, np.int32)
         np.maximum.at(last, np.frombuffer(self.parents, np.int32), np.repeat(place, np.diff(np.frombuffer(self.starts, np.int32))))
         return numbers(last)
 
@@ -193,18 +248,25 @@ class Graph:
         return numbers(rank), numbers(roots), int(rank.max(initial=-1)) + 1
 
     def root_sets(self, low: int = 0, width: int | None = None) -> Iterator[tuple[int, int]]:
-        """(commit, the bits of its roots of ranks ``low`` to ``low + width - 1``), by ``levels``; a set is held until its last use."""
+        """(commit, the bits of its roots of ranks ``low`` to ``low + width - 1``), by ``levels``."""
+        return ((c, bits_of(x)) for c, x in self.packed_sets(low, width))
+
+    def packed_sets(self, low: int = 0, width: int | None = None) -> Iterator[tuple[int, int]]:
+        """``root_sets`` as they are held until their last use: a single root is ~ its bit's place, and of equal sets that meet one is held."""
         starts, parents, last, rank = self.starts, self.parents, self.last_use, self.ranks[0]
         width = self.ranks[2] if width is None else width
         held: list = [None] * self.n
         for i, c in enumerate(self.levels):
             a, b = starts[c], starts[c + 1]
             if a == b:
-                bits = 1 << (rank[c] - low) if low <= rank[c] < low + width else 0
+                bits = ~(rank[c] - low) if low <= rank[c] < low + width else 0
             else:
                 bits = held[parents[a]]
                 for k in range(a + 1, b):
-                    bits |= held[parents[k]]
+                    more = held[parents[k]]
+                    if more is not bits and more != bits:
+                        both = bits_of(bits) | bits_of(more)
+                        bits = more if both == bits_of(more) else bits if both == bits_of(bits) else both
                 for k in range(a, b):
                     if last[parents[k]] == i:
                         held[parents[k]] = None
@@ -230,12 +292,12 @@ class Graph:
 
     def reached(self, tips: Iterable[int]) -> bytearray:
         """A byte for each commit: whether ``tips`` reach it."""
-        starts, parents, seen, stack = self.starts, self.parents, bytearray(self.n), list(tips)
+        starts, parents, seen, stack = self.starts, self.parents, bytearray(self.n), array("i", tips)
         while stack:
             c = stack.pop()
             if not seen[c]:
                 seen[c] = 1
-                stack += [p for p in parents[starts[c] : starts[c + 1]] if not seen[p]]
+                stack.extend(p for p in parents[starts[c] : starts[c + 1]] if not seen[p])
         return seen
 
 
@@ -253,7 +315,10 @@ def fold(commits: DataFrame, columns: list[str], schema: str, work: Callable[[Gr
 
         want = to_arrow_schema(made)
         for graph in map(Graph, whole(batches)):  # the rows that a graph is made of are not held beside it
+            arrays = None
             for arrays in work(graph):
                 yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type) for x, f in zip(arrays, want, strict=True)], schema=want)
+            del graph, arrays  # before the next one is gathered
+            pa.default_memory_pool().release_unused()
 
-    return commits.select("repo", "commit_id", "parents", *columns).repartition("repo").sortWithinPartitions("repo").mapInArrow(run, schema)
+    return commits.select("repo", "commit_id", "parents", *columns).repartition("repo").sortWithinPartitions("repo", "commit_id").mapInArrow(run, schema)

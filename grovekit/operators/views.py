@@ -120,7 +120,7 @@ def commit_ids(viewed: DataFrame) -> DataFrame:
     """
 
     def work(g: graphs.Graph) -> Iterable[list]:
-        kept, views, lists, *texts = g.flags("kept"), *(g.column(c).combine_chunks() for c in ("view", "view_parents", "author_line", "committer_line", "message"))
+        kept, views, lists, *texts = g.flags("kept"), *(g.column(c) for c in ("view", "view_parents", "author_line", "committer_line", "message"))
         made: dict = {}
         for c in g.order:
             if kept[c]:
