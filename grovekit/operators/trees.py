@@ -19,6 +19,7 @@ from grovekit.plans import nodes as n
 from grovekit.plans import rewrite
 from grovekit.plans.nodes import FilterError, Node
 from grovekit.plans.parser import parse
+from grovekit.sources.sharing import cut
 
 from . import setops
 
@@ -125,8 +126,8 @@ def _subtract(f: Node, x: DataFrame, env: Env) -> DataFrame:
 def _compose(f: Node, x: DataFrame, env: Env) -> DataFrame:
     """Every source entry goes to the first branch that shows it; where targets meet, the last branch's entry stays.
 
-    The branches' views are one union, in which entries carry the path they come from. Two groupings by
-    window decide: the lowest branch of a source, and the highest at a target or at a directory above it.
+    The branches' views are one union, in which entries carry the path they come from. Two windows decide: the
+    lowest branch of a source, and the highest at a target. A job over keys alone finds where files meet directories.
     """
     for b in f.args:
         rewrite.invert(b)  # a branch without an inverse has no source to claim
@@ -138,16 +139,21 @@ def _compose(f: Node, x: DataFrame, env: Env) -> DataFrame:
     if not views:
         return x.where(F.lit(False))
     all_ = reduce(lambda p, q: p.unionByName(q), views)
-    claimed = F.min(branch).over(Window.partitionBy("tree_id", source))
+    made = F.when(F.col(source).isNull(), F.col("path"))  # what comes from no entry is dealt by its path
+    claimed = F.min(branch).over(Window.partitionBy("tree_id", source, made))
     fresh = all_.withColumn("claim", claimed).where(F.col(source).isNull() | (F.col(branch) == F.col("claim"))).drop("claim", source)
-    # One row for each path and each directory above it; an entry must not be beaten at any of them.
-    spread = fresh.withColumn("at", F.explode(F.concat(F.array("path"), setops.ancestors("path"))))
-    here = F.col("at") == F.col("path")
-    by_place = Window.partitionBy("tree_id", "at")
-    judged = spread.withColumns({"file": F.max(F.when(here, F.col(branch))).over(by_place), "any": F.max(branch).over(by_place)})
-    beaten = F.when(here, F.col("any") > F.col(branch)).otherwise(F.coalesce(F.col("file") > F.col(branch), F.lit(False)))
-    lost = F.max(beaten).over(Window.partitionBy("tree_id", "path", branch))
-    return judged.withColumn("lost", lost).where(here & ~F.col("lost")).select(*names)
+    highest = F.max(branch).over(Window.partitionBy("tree_id", "path"))
+    top = fresh.withColumn("highest", highest).where(F.col(branch) == F.col("highest")).drop("highest")
+    # Contents are dealt by path alone; directories are counted from keys. Only where a file meets a directory, entries are left.
+    keys = top.select("tree_id", "path", branch)
+    files = keys.withColumnRenamed("path", "at").groupBy("tree_id", "at").agg(F.max(branch).alias("file"))
+    spread = keys.withColumn("at", F.explode(setops.ancestors("path")))
+    met = cut(spread.groupBy("tree_id", "at").agg(F.max(branch).alias("below")).join(files, ["tree_id", "at"]))
+    if not met.isEmpty():
+        under = spread.join(met.select("tree_id", "at", "file"), ["tree_id", "at"]).where(F.col("file") > F.col(branch)).select("tree_id", "path")
+        over = met.where(F.col("below") > F.col("file")).select("tree_id", F.col("at").alias("path"))
+        top = top.join(under.unionByName(over).distinct(), setops.KEY, "left_anti")
+    return top.select(*names)
 
 
 def _made(rows: DataFrame, x: DataFrame) -> DataFrame:
