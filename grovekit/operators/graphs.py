@@ -26,35 +26,95 @@ STEP = 1 << 14
 SET_BYTES = 48 << 20
 
 
-def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole repositories from batches in which each repository's rows (its name is column 0) are neighbours."""
-    held: list[pa.RecordBatch] = []
-    n, last = 0, None
+class Texts:
+    """Texts end to end in one buffer, without the batches that they came in."""
+
+    def __init__(self) -> None:
+        self.data, self.sizes, self.nulls = bytearray(), array("i"), array("q")
+
+    def add(self, texts: pa.Array) -> None:
+        if texts.null_count:
+            self.nulls.frombytes((np.flatnonzero(texts.is_null().to_numpy(zero_copy_only=False)) + len(self.sizes)).tobytes())
+            texts = texts.fill_null("")
+        offsets, data = _buffers(texts)
+        self.data += data[offsets[0] : offsets[-1]].data
+        self.sizes.frombytes(np.diff(offsets).astype(np.int32).tobytes())
+
+    def array(self) -> pa.Array:
+        n, large, valid = len(self.sizes), len(self.data) > np.iinfo(np.int32).max, None
+        offsets = _sums(self.sizes, np.int64 if large else np.int32)
+        if self.nulls:
+            there = np.ones(n, bool)
+            there[np.frombuffer(self.nulls, np.int64)] = False
+            valid = pa.py_buffer(np.packbits(there, bitorder="little"))
+        return pa.Array.from_buffers(pa.large_string() if large else pa.string(), n, [valid, pa.py_buffer(offsets), pa.py_buffer(self.data)], len(self.nulls))
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets of texts, and the bytes that these point into."""
+    kind, (_, offsets, data) = np.int64 if pa.types.is_large_string(texts.type) else np.int32, texts.buffers()
+    offsets = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, kind)
+    return offsets, np.frombuffer(data or b"", np.uint8)
+
+
+def _sums(sizes: array, kind: type = np.int32) -> np.ndarray:
+    out = np.zeros(len(sizes) + 1, kind)
+    np.cumsum(np.frombuffer(sizes, np.int32), out=out[1:])
+    return out
+
+
+class Rows:
+    """Rows of whole repositories as they come: (repo, commit_id, parents, other columns); batches are copied and let go."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.repos, self.codes = 0, {}, array("i")
+        self.ids, self.parents, self.counts, self.columns = Texts(), Texts(), array("i"), {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
+        self.n += batch.num_rows
+        repo, ids, lists = batch.columns[:3]
+        repo = repo.dictionary_encode("encode")
+        known = np.array([self.repos.setdefault(x, len(self.repos)) for x in repo.dictionary.to_pylist()], np.int32)
+        self.codes.frombytes(known[repo.indices.to_numpy()].tobytes())
+        self.ids.add(ids)
+        self.counts.frombytes(pc.list_value_length(lists).fill_null(0).cast(pa.int32()).to_numpy().tobytes())
+        self.parents.add(pc.list_flatten(lists))
+        for name, column in zip(batch.schema.names[3:], batch.columns[3:], strict=True):
+            self.columns.setdefault(name, []).append(column.take(pa.array(np.arange(len(column), dtype=np.int32))))
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Rows:
+        out = cls()
+        for batch in table.to_batches():
+            out.add(batch)
+        return out
+
+
+def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
+    """Rows of whole repositories from batches in which each repository's rows (its name is column 0) are neighbours."""
+    rows, last = Rows(), None
     for batch in batches:
         if not batch.num_rows:
             continue
         codes = batch.column(0).dictionary_encode("encode").indices.to_numpy()
         cuts = (np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()
-        if held and batch.column(0)[0].as_py() != last:
+        if rows.n and batch.column(0)[0].as_py() != last:
             cuts = [0, *cuts]
         at = 0
         for c in cuts:
-            if n + c - at >= TOGETHER:
-                if c > at:
-                    held.append(batch.slice(at, c - at))
-                yield _emptied(held)
-                n, at = 0, c
-        held.append(batch.slice(at))
-        n += batch.num_rows - at
+            if rows.n + c - at >= TOGETHER:
+                rows.add(batch.slice(at, c - at))
+                yield rows
+                rows, at = Rows(), c
+        rows.add(batch.slice(at))
         last = batch.column(0)[-1].as_py()
-    if held:
-        yield _emptied(held)
-
-
-def _emptied(held: list) -> pa.Table:
-    table = pa.Table.from_batches(held)
-    held.clear()
-    return table
+    if rows.n:
+        yield rows
 
 
 def numbers(x: np.ndarray) -> array:
@@ -72,38 +132,50 @@ def bits_of(x: int) -> int:
 class Graph:
     """Commits 0 to n - 1, by repository and id; ``parents[starts[c]:starts[c + 1]]`` are those of commit c that are in the table."""
 
-    def __init__(self, table: pa.Table) -> None:
-        names = table.column_names
-        repo = table.column(0).combine_chunks().dictionary_encode("encode")
-        repo = repo.combine_chunks() if isinstance(repo, pa.ChunkedArray) else repo
-        codes, self._names = repo.indices, repo.dictionary
-        ids = table.column("commit_id").cast(pa.large_string()).combine_chunks()
+    def __init__(self, rows: Rows | pa.Table) -> None:
+        """``rows`` are used up."""
+        rows = Rows.of(rows) if isinstance(rows, pa.Table) else rows
+        self._names, codes = pa.array(list(rows.repos), pa.string()), pa.Array.from_buffers(pa.int32(), rows.n, [None, pa.py_buffer(rows.codes)])
+        ids, flat, offsets = rows.ids.array(), rows.parents.array(), _sums(rows.counts)
+        self._columns = {name: pa.chunked_array(some).combine_chunks() for name, some in rows.columns.items()}
+        rows.clear()
         before, after = (codes.slice(0, len(codes) - 1), ids.slice(0, len(ids) - 1)), (codes.slice(1), ids.slice(1))
         if not pc.all(pc.or_(pc.greater(after[0], before[0]), pc.and_(pc.equal(after[0], before[0]), pc.greater_equal(after[1], before[1]))), skip_nulls=False).as_py():
             by = pc.sort_indices(pa.table({"r": codes, "c": ids}), sort_keys=[("r", "ascending"), ("c", "ascending")])
-            table, codes, ids = table.take(by), codes.take(by), ids.take(by)
+            flat, offsets = self._chosen(flat, offsets, by)
+            codes, ids, self._columns = codes.take(by), ids.take(by), {name: x.take(by) for name, x in self._columns.items()}
             before, after = (codes.slice(0, len(codes) - 1), ids.slice(0, len(ids) - 1)), (codes.slice(1), ids.slice(1))
         twice = pc.and_(pc.equal(after[0], before[0]), pc.equal(after[1], before[1]))
         if pc.any(twice).as_py():  # of repeated commits one row stays
-            last = pa.array(np.append(~twice.fill_null(False).to_numpy(zero_copy_only=False), True))
-            table, codes, ids = table.filter(last), codes.filter(last), ids.filter(last)
-        del before, after, twice, repo
+            last = pa.array(np.flatnonzero(np.append(~twice.fill_null(False).to_numpy(zero_copy_only=False), True)))
+            flat, offsets = self._chosen(flat, offsets, last)
+            codes, ids, self._columns = codes.take(last), ids.take(last), {name: x.take(last) for name, x in self._columns.items()}
+        del before, after, twice
         self.n, self.ids, self.codes = len(ids), ids, codes
-        index, at, counts, first = self._index(), array("i"), [np.zeros(1, np.int64)], 0
-        for lists in table.column("parents").chunks:
-            of = np.asarray(pc.list_parent_indices(lists).cast(pa.int64()))
-            found = self._place(index, of + first, pc.list_flatten(lists).cast(pa.large_string()))
-            at.frombytes(found[found >= 0].tobytes())
-            counts.append(np.bincount(of[found >= 0], minlength=len(lists)))
-            first += len(lists)
-        del index
-        self.starts, self.parents = numbers(np.cumsum(np.concatenate(counts))), at
-        self._columns = {c: table.column(c).combine_chunks() for c in names[3:]}  # copies: the batches that rows came in are freed
+        index, found = self._index(), array("i")
+        for i in range(0, self.n, STEP):
+            ends = offsets[i : i + STEP + 1]
+            of = np.repeat(np.arange(i, i + len(ends) - 1), np.diff(ends))
+            found.frombytes(self._place(index, of, flat.slice(ends[0], ends[-1] - ends[0])).tobytes())
+        del index, flat
+        there = np.frombuffer(found, np.int32) >= 0
+        if not there.all():
+            offsets = np.append(np.int32(0), np.cumsum(there, dtype=np.int32))[offsets]
+            found = numbers(np.frombuffer(found, np.int32)[there])
+        self.starts, self.parents = numbers(offsets), found
+
+    @staticmethod
+    def _chosen(flat: pa.Array, offsets: np.ndarray, of: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The lists of the rows ``of``, end to end."""
+        of = of.to_numpy()
+        sizes = np.diff(offsets)[of]
+        ends = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))
+        return flat.take(pa.array(np.repeat(offsets[of] - ends[:-1], sizes) + np.arange(ends[-1]))), ends
 
     def _hashes(self, ids: pa.Array, codes: np.ndarray) -> np.ndarray:
         """A number for each id of a repository; equal ids have equal numbers, others hardly ever."""
-        offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
-        data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        offsets, data = _buffers(ids)
+        data = data[offsets[0] : offsets[-1]].astype(np.uint64)
         offsets = offsets - offsets[0]
         sizes = np.diff(offsets)
         powers = np.cumprod(np.full(int(sizes.max(initial=0)), 0x9E3779B97F4A7C15, np.uint64))
@@ -114,25 +186,31 @@ class Graph:
         out ^= out >> np.uint64(32)
         return out * np.uint64(0xFF51AFD7ED558CCD)
 
-    def _index(self) -> tuple[np.ndarray, np.ndarray]:
-        """The commits' hashes in order, and whose they are."""
-        codes, hashes = self.codes.to_numpy(), np.empty(self.n, np.uint64)
+    @property
+    def _bits(self) -> np.uint64:
+        """The low bits of the index, which say whose a hash is."""
+        return np.uint64(max(1, (self.n - 1).bit_length()))
+
+    def _index(self) -> np.ndarray:
+        """The upper bits of the commits' hashes, each with its commit's number below them, in order."""
+        codes, out, bits = self.codes.to_numpy(), np.empty(self.n, np.uint64), self._bits
         for i in range(0, self.n, STEP):
-            hashes[i : i + STEP] = self._hashes(self.ids.slice(i, STEP), codes[i : i + STEP])
-        order = np.argsort(hashes).astype(np.int32)
-        return hashes[order], order
+            hashes = self._hashes(self.ids.slice(i, STEP), codes[i : i + STEP])
+            out[i : i + STEP] = hashes >> bits << bits | np.arange(i, i + len(hashes), dtype=np.uint64)
+        out.sort()
+        return out
 
-    def _place(self, index: tuple[np.ndarray, np.ndarray], of: np.ndarray, ids: pa.Array) -> np.ndarray:
+    def _place(self, index: np.ndarray, of: np.ndarray, ids: pa.Array) -> np.ndarray:
         """Numbers of the commits ``ids`` in the repositories of the commits ``of``, -1 where there is none. Hashes find them, ids are compared."""
-        hashes, order = index
-        codes, out = self.codes.to_numpy(), np.full(len(ids), -1, np.int32)
+        codes, out, bits = self.codes.to_numpy(), np.full(len(ids), -1, np.int32), self._bits
         for i in range(0, len(ids), STEP):
             asked, mine = ids.slice(i, STEP), codes[of[i : i + STEP]]
-            want = self._hashes(asked, mine)
-            at, left = np.searchsorted(hashes, want), np.arange(len(asked))
-            while len(left := left[(at[left] < self.n) & (hashes[np.minimum(at[left], self.n - 1)] == want[left])]):
-                c = order[at[left]]
-                same = pc.equal(self.ids.take(pa.array(c)), asked.take(pa.array(left))).fill_null(False).to_numpy(zero_copy_only=False) & (codes[c] == mine[left])
+            want = self._hashes(asked, mine) >> bits
+            at, left = np.searchsorted(index, want << bits), np.arange(len(asked))
+            while len(left := left[(at[left] < self.n) & (index[np.minimum(at[left], self.n - 1)] >> bits == want[left])]):
+                c = (index[at[left]] & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int32)
+                ours, theirs = (x.take(pa.array(k)).cast(pa.large_string()) for x, k in ((self.ids, c), (asked, left)))
+                same = pc.equal(ours, theirs).fill_null(False).to_numpy(zero_copy_only=False) & (codes[c] == mine[left])
                 out[i + left[same]] = c[same]
                 left = left[~same]
                 at[left] += 1
@@ -166,7 +244,7 @@ class Graph:
 
     def found(self, name: str) -> array:
         """A column of ids of the same repository as numbers, -1 where there is none."""
-        return numbers(self._place(self._index(), np.arange(self.n), self.column(name).cast(pa.large_string())))
+        return numbers(self._place(self._index(), np.arange(self.n), self.column(name)))
 
     def named(self, of: np.ndarray | list | array) -> pa.Array:
         """Ids of commits; -1 is null."""
