@@ -261,9 +261,10 @@ class Graph:
     @cached_property
     def order(self) -> array:
         """Parents before children, without recursion."""
-        starts, parents, done, out = self.starts, self.parents, bytearray(self.n), array("i")
+        starts, parents, done, out, stack = self.starts, self.parents, bytearray(self.n), array("i"), array("i")
         for start in range(self.n):
-            stack = [] if done[start] else [start]
+            if not done[start]:
+                stack.append(start)
             while stack:
                 x = stack.pop()
                 if x < 0:
@@ -276,8 +277,11 @@ class Graph:
                             stack.append(parents[k])
         place = np.empty(self.n, np.int32)
         place[np.frombuffer(out, np.int32)] = np.arange(self.n, dtype=np.int32)
-        if (place[np.frombuffer(self.parents, np.int32)] >= np.repeat(place, np.diff(np.frombuffer(self.starts, np.int32)))).any():
-            raise ValueError("a commit is its own ancestor")
+        ends, of = np.frombuffer(starts, np.int32), np.frombuffer(parents, np.int32)
+        for i in range(0, self.n, STEP):
+            some = ends[i : i + STEP + 1]
+            if (place[of[some[0] : some[-1]]] >= np.repeat(place[i : i + STEP], np.diff(some))).any():
+                raise ValueError("a commit is its own ancestor")
         return out
 
     @cached_property
